@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespan.llm import exact_dedup, simhash
+from tilespan.llm import byte_bpe, exact_dedup, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +45,12 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
 }
