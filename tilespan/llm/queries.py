@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespan.llm import byte_bpe, exact_dedup, gam, packing, simhash, text_cnn, warc
+from tilespan.llm import byte_bpe, exact_dedup, gam, hilbert_ann, packing, quotes, simhash, text_cnn, warc
 from tilespan.llm.common import remainder
 
 
@@ -22,11 +22,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(_table(spark, sf_dir, "conversations")).drop("text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_hilbert": op2_hilbert,
     "op3_simhash": op3_simhash,
+    "op4_quotes": op4_quotes,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
@@ -62,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality": op1_quality,
+    "op2_hilbert": op2_hilbert,
     "op3_simhash": op3_simhash,
+    "op4_quotes": op4_quotes,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
