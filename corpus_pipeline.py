@@ -1 +1,57 @@
-STAGES = []
+"""The corpus pipeline: documents from raw to packed training sequences.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, and what one
+stage returns is written as Parquet and read again as the next one's docs. The classifiers learn from the labels
+of sf_dir; the last stage returns packed pieces, the others documents with all their columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilespan.llm import exact_dedup, gam, near_text, packing, text_cnn
+from tilespan.llm.common import remainder, written
+
+#: Documents of a lower quality score go.
+KEEP_QUALITY = 0.5
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = gam.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 4) != 2)
+    return gam.score(docs, model, "_quality").where(F.col("_quality") >= KEEP_QUALITY).select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = text_cnn.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1)
+    return text_cnn.score(docs, net, "_toxic").where(~F.col("flagged")).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_text.deduplicate(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
+
+#: The classifiers' and the packer's decisions can't be expressed in SQL; tests/llm/test_pipeline.py holds the stages to plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the documents of sf_dir."""
+    docs = _read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

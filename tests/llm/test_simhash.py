@@ -54,7 +54,7 @@ def test_bucket_links():
         for g in set(group.tolist()):
             members = fps[group == g].tolist()
             want[g] = classes(members, lambda a, b: bin(a ^ b).count("1") <= 2)
-            inside = {frozenset(p) for p in zip(u.tolist(), v.tolist(), strict=True)}
+            inside = {frozenset(p) for p in zip(fps[u].tolist(), fps[v].tolist(), strict=True)}
             got[g] = classes(members, lambda a, b: frozenset((a, b)) in inside)
         if groups == 1:
             assert got == want

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tilespan.llm import byte_bpe, exact_dedup, gam, hilbert_ann, packing, quotes, simhash, text_cnn, warc
 from tilespan.llm.common import remainder
 
@@ -68,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

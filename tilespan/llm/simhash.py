@@ -134,14 +134,14 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, representative) that join, in each run of equal `group`, all fingerprints connected within the radius."""
+    """Positions (child, representative) that join, in each run of equal `group`, all fingerprints connected within the radius."""
     n = len(fps)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.r_[starts, n])
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 1]
     if not len(order):
-        return fps[:0], fps[:0]
+        return order, order
     sizes = sizes[order]
     first = np.r_[0, np.cumsum(sizes)]
     total = int(first[-1])
@@ -160,7 +160,42 @@ def bucket_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tu
         if len(hits):
             _union(label, hits, hits + shift)
     child = np.flatnonzero(label != np.arange(total))
-    return fps[child], fps[label[child]]
+    return take[child], take[label[child]]
+
+
+def runs(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """A number for each run of equal keys."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], values: tuple[str, ...], rows: int = 1 << 16) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Key and value columns of long columns sorted by their keys, some `rows` at a time, no group of equal keys cut."""
+    names = (*keys, *values)
+    held = [np.zeros(0, dtype=np.int64) for _ in names]
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
+        if len(held[0]) < rows:
+            continue
+        group = runs(tuple(held[: len(keys)]))
+        whole = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+        if whole:
+            yield [h[:whole] for h in held[: len(keys)]], [h[:whole] for h in held[len(keys) :]]
+            held = [h[whole:] for h in held]
+    if len(held[0]):
+        yield held[: len(keys)], held[len(keys) :]
+
+
+def dealt_buckets(keyed: DataFrame, bucket: int) -> DataFrame:
+    """Rows (key, fp, ...) with a cell, sorted by key and cell; keys of more than `bucket` rows are dealt into pairs of chunks."""
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+    parts = F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1)).cast("int")
+    cells = keyed.join(hot, "key", "left").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64(*(c for c in keyed.columns if c != "key")), F.col("parts")).cast("int")).drop("n")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.withColumn("cell", (F.least("mine", "other") * 65536 + F.greatest("mine", "other")).cast("long")).drop("parts", "mine", "other")
+    return cells.repartition(F.col("key"), F.col("cell")).sortWithinPartitions("key", "cell", "fp")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -169,34 +204,13 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         raise ValueError("four bands in pairs serve a radius of 1 or 2")
     band = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     keys = [F.struct((F.lit(t * (1 << 32)) + F.shiftleft(band[b], 16) + band[a]).alias("key")) for t, (a, b) in enumerate(BANDS)]
-    keyed = fps.select("fp", F.inline(F.array(*keys)))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-    parts = F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = keyed.join(hot, "key", "left").withColumn("parts", parts).withColumn("mine", mine)
-    cells = cells.select("fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("fp", "key", (F.least("mine", "other") * 65536 + F.greatest("mine", "other")).alias("cell"))
-    dealt = cells.repartition(F.col("key"), F.col("cell")).sortWithinPartitions("key", "cell", "fp")
-
-    def compare(key: np.ndarray, cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-        u, v = bucket_links(fp.view(np.uint64), group, radius)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"]) if len(u) else None
+    dealt = dealt_buckets(fps.select("fp", F.inline(F.array(*keys))), bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "cell", "fp"), strict=True)]
-            if len(held[0]) < 1 << 16:
-                continue
-            key, cell = held[0], held[1]
-            inner = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))  # the last bucket may go on in the next batch
-            whole = int(inner[-1]) + 1 if len(inner) else 0
-            if whole and (out := compare(*(h[:whole] for h in held))):
-                yield out
-            held = [h[whole:] for h in held]
-        if len(held[0]) and (out := compare(*held)):
-            yield out
+        for (key, cell), (fp,) in whole_groups(batches, ("key", "cell"), ("fp",)):
+            u, v = bucket_links(fp.view(np.uint64), runs((key, cell)), radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
 
     return dealt.select("key", "cell", "fp").mapInArrow(run, "u long, v long").distinct()
 
