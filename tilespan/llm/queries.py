@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilespan.llm import byte_bpe, exact_dedup, gam, hilbert_ann, packing, quotes, simhash, text_cnn, warc
+from tilespan.llm import byte_bpe, exact_dedup, gam, hilbert_ann, mixing_lm, packing, quotes, simhash, text_cnn, warc
 from tilespan.llm.common import remainder
 
 
@@ -40,6 +40,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing_lm.score(_table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return found.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_quotes": op4_quotes,
     "op5_packing": op5_packing,
+    "op6_mixing_lm": op6_mixing_lm,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
