@@ -50,14 +50,15 @@ def running_time(records: DataFrame, task: str = "task") -> DataFrame:
     """Seconds between each start or resume and the record that follows; open_since where a task still runs."""
     w = Window.partitionBy(task).orderBy("ts", "seq")
     runs = F.col("action").isin("start", "resume")
-    seconds = F.floor(F.unix_micros(F.lead("ts").over(w)) / 1_000_000 - F.unix_micros("ts") / 1_000_000).cast("long")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.floor(F.lead(micros).over(w) / 1_000_000 - micros / 1_000_000).cast("long")
     steps = records.select(task, "ts", "seq", "action", F.when(runs, seconds).alias("seconds"), (runs & F.lead("ts").over(w).isNull()).alias("open"))
     return steps.groupBy(task).agg(F.coalesce(F.sum("seconds"), F.lit(0)).alias("running_seconds"), F.max(F.when(F.col("open"), F.col("ts"))).alias("open_since"))
 
 
 def trailing_rate(samples: DataFrame, key: str, seconds: int = 3) -> DataFrame:
     """Bytes of the last `seconds` at each sample, and the running total."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts"))
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
     window = w.rangeBetween(-seconds * 1_000_000, 0)
     return samples.select("*", F.sum("bytes").over(window).alias("window_bytes"), F.sum("bytes").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("total_bytes"))
 
