@@ -100,8 +100,8 @@ CTE = {
     "files": """f0 AS (SELECT *, 6 + l_linenumber % 6 AS zoom FROM lineitem),
         files AS (SELECT (['m', 's', 'y', 't'])[l_suppkey % 4 + 1] || '-' || substr(md5(CAST(l_suppkey % 12 AS VARCHAR)), 1, 8) AS namespace, zoom,
         (l_partkey * 31) % (1::BIGINT << zoom) AS x, (l_suppkey * 17) % (1::BIGINT << zoom) AS y, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM f0)""",
-    "pixels": """p0 AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS at FROM embeddings),
-        pixels AS (SELECT vec_id AS raster, CAST(at // 8 AS INT) AS row, CAST(at % 8 AS INT) AS col, round(CAST(v AS DOUBLE) * 1000, 3) AS elev FROM p0)""",
+    "pixels": """p0 AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+        pixels AS (SELECT vec_id AS raster, CAST(pos // 8 AS INT) AS row, CAST(pos % 8 AS INT) AS col, round(CAST(v AS DOUBLE) * 1000, 3) AS elev FROM p0)""",
 }
 
 
