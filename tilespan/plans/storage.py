@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespan.functions import grid, text
-from tilespan.operators import cache, ledger, raster, spans, tasks
+from tilespan.operators import cache, config, ledger, polygons, raster, spans, tasks, terrain
 from tilespan.plans import views as v
 from tilespan.plans.catalogue import _LAST, _PARTS, _ledger, point_to_tile_all_zooms, query
 from tilespan.plans.views import sql_tile_x, sql_tile_y, with_views
@@ -273,3 +273,73 @@ def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     record = F.struct((k % 22).alias("max_zoom"), F.col("n_name").alias("name"), F.lit("xyz").alias("scheme"), F.concat(F.lit("https://t"), k.cast("string"), F.lit(".example.com/{z}/{x}/{y}")).alias("url_template"))
     return v.table(spark, sf_dir, "nation").select(k.alias("source"), text.fingerprint(record).alias("fingerprint"))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A five-cornered polygon with a square hole in each region's box."""
+    at = lambda fx, fy: F.struct((F.col("west") + (F.col("east") - F.col("west")) * fx).alias("lon"), (F.col("south") + (F.col("north") - F.col("south")) * fy).alias("lat"))
+    outer = F.array(*(at(*p) for p in ((0.0, 0.0), (1.0, 0.0), (1.0, 0.75), (0.5, 1.0), (0.0, 0.5), (0.0, 0.0))))
+    hole = F.array(*(at(*p) for p in ((0.25, 0.25), (0.25, 0.5), (0.5, 0.5), (0.5, 0.25), (0.25, 0.25))))
+    return v.regions(spark, sf_dir).select("region", F.array(outer, hole).alias("rings"))
+
+
+
+
+@query(
+    with_views("regions", "pts")
+    + """, e(a, b, c, d) AS (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1, 0.75), (1, 0.75, 0.5, 1), (0.5, 1, 0, 0.5), (0, 0.5, 0, 0), (0.25, 0.25, 0.25, 0.5), (0.25, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.25), (0.5, 0.25, 0.25, 0.25)),
+    g AS (SELECT region, west + (east - west) * a AS x1, south + (north - south) * b AS y1, west + (east - west) * c AS x2, south + (north - south) * d AS y2 FROM regions, e),
+    q AS (SELECT id, lon, lat FROM pts UNION ALL SELECT id, lon + 360, lat FROM pts)
+    SELECT DISTINCT region, id FROM (SELECT region, id, lon FROM g, q WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY region, id, lon HAVING count(*) % 2 = 1)"""
+)
+def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.points_in_polygons(v.points(spark, sf_dir), _shapes(spark, sf_dir), "region")
+
+
+@query(
+    with_views("regions")
+    + """SELECT region, round((east - west) * (north - south) * 0.8125::DOUBLE, 6) AS outer_area, round(-(east - west) * (north - south) * 0.0625::DOUBLE, 6) AS hole_area, CAST(9 AS INT) AS vertices FROM regions"""
+)
+def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = lambda k: F.round(polygons.ring_area(F.col("rings")[k]), 6)
+    return _shapes(spark, sf_dir).select("region", area(0).alias("outer_area"), area(1).alias("hole_area"), polygons.vertex_count(F.col("rings")).alias("vertices"))
+
+
+@query()
+def polygon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polygons.polygon_spans(_shapes(spark, sf_dir), "region", 0, 12)
+
+
+@query()
+def terrain_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.encode_tiles(v.pixels(spark, sf_dir), "raster")
+
+
+_RULES = "r(key, low, high, whole) AS (VALUES ('concurrency', 1, 50, true), ('speed_limit', 0, 1000, false), ('zoom', 0, 21, true))"
+
+
+@query(
+    f"""WITH {_RULES}, c AS (SELECT event_id, (['concurrency', 'speed_limit', 'zoom', 'colour'])[event_id % 4 + 1] AS key, CASE WHEN event_id % 11 = 0 THEN 'abc' ELSE CAST(CAST(event_id % 60 AS DOUBLE) / (1 + event_id % 2) AS VARCHAR) END AS value FROM events)
+    SELECT event_id, c.key, CASE WHEN r.key IS NULL THEN 'unknown' WHEN try_cast(value AS DOUBLE) IS NULL THEN 'not_a_number' WHEN whole AND try_cast(value AS DOUBLE) <> floor(try_cast(value AS DOUBLE)) THEN 'not_whole'
+    WHEN try_cast(value AS DOUBLE) NOT BETWEEN low AND high THEN 'out_of_range' ELSE 'ok' END AS verdict FROM c LEFT JOIN r ON c.key = r.key"""
+)
+def config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    value = F.when(k % 11 == 0, "abc").otherwise(((k % 60).cast("double") / (1 + k % 2)).cast("string"))
+    entries = v.table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, ["concurrency", "speed_limit", "zoom", "colour"])), (k % 4 + 1).cast("int")).alias("key"), value.alias("value"))
+    rules = spark.createDataFrame([("concurrency", 1, 50, True), ("speed_limit", 0, 1000, False), ("zoom", 0, 21, True)], "key string, low int, high int, whole boolean")
+    return config.check(entries, rules).select("event_id", "key", "verdict")
+
+
+@query(
+    """SELECT page_id, CAST(page_id % 360 - 180 AS DOUBLE) AS west, CAST(page_id % 170 - 85 AS DOUBLE) AS south, CAST(page_id % 360 - 179 AS DOUBLE) AS east, CAST(page_id % 170 - 84 AS DOUBLE) AS north, 'place ' || page_id AS name FROM pages WHERE page_id % 5 <> 4"""
+)
+def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in three shapes: GeoJSON bbox of four or six numbers, and [south, north, west, east] strings."""
+    k = F.col("page_id")
+    w, s = k % 360 - 180, k % 170 - 85
+    four = F.format_string('{"features":[{"bbox":[%d,%d,%d,%d],"properties":{"name":"place %d"}}]}', w, s, w + 1, s + 1, k)
+    six = F.format_string('{"features":[{"bbox":[%d,%d,0,%d,%d,9],"properties":{"name":"place %d"}}]}', w, s, w + 1, s + 1, k)
+    nominatim = F.format_string('[{"boundingbox":["%d","%d","%d","%d"],"display_name":"place %d"}]', s, s + 1, w, w + 1, k)
+    answer = F.when(k % 5 == 0, four).when(k % 5 == 1, six).when(k % 5 == 4, F.lit("{}")).otherwise(nominatim)
+    return config.geocoded(v.table(spark, sf_dir, "pages").select("page_id", answer.alias("answer")), "answer").select("page_id", "west", "south", "east", "north", "name")
