@@ -15,7 +15,7 @@ ENTRY = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?)\s+([A-Z]+)\s+(.*)$"
 def mask_url(text: Column) -> Column:
     """User info and secret query values of every URL in a text as ***; the rest stays byte for byte."""
     user = F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.\-]*://)[^\s/?#'\"<>]*@", "$1***:***@")
-    return F.regexp_replace(user, rf"(?i)([?&]{_QUERY_KEY}=)[^&#\s'\"<>)\]}}]*", "$1***")
+    return F.regexp_replace(user, rf"(?i)([?&]{_QUERY_KEY}=)[^&#\s'\"<>)\]}}]*?(?=[&#]|[,.;:!?]*(?:[\s'\"<>)\]}}]|$))", "$1***")
 
 
 def redact(text: Column) -> Column:
