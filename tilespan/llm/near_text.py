@@ -99,37 +99,35 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Links between nodes whose sets have the similarity, as a spanning forest of all such links."""
     n = len(sets)
-    label = list(range(n))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
+    label = np.arange(n)
+    classes = n
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.r_[0, np.cumsum(sizes)]
     marked = np.zeros(int(ids.max()) + 1, dtype=np.int64)
     left, right = [], []
     for i in range(n - 1):
-        small, large = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        able = (small >= similarity * large) & (np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= RADIUS)
-        mine = root(i)
-        others = [j for j in (np.flatnonzero(able) + i + 1).tolist() if root(j) != mine]
-        if not others:
+        if classes == 1:
+            break
+        later = slice(i + 1, None)
+        able = (label[later] != label[i]) & (np.minimum(sizes[i], sizes[later]) >= similarity * np.maximum(sizes[i], sizes[later]))
+        able &= np.bitwise_count(fp[i] ^ fp[later]) <= RADIUS
+        others = np.flatnonzero(able) + i + 1
+        if not len(others):
             continue
         own = ids[starts[i] : starts[i + 1]]
         marked[own] = 1
         if len(others) > n // 8:
-            every = np.add.reduceat(marked[ids], starts[:-1])
-        for j in others:
-            both = int(every[j]) if len(others) > n // 8 else int(marked[ids[starts[j] : starts[j + 1]]].sum())
-            if both >= similarity * (sizes[i] + sizes[j] - both) and root(i) != root(j):
-                label[max(root(i), root(j))] = min(root(i), root(j))
+            both = np.add.reduceat(marked[ids], starts[:-1])[others]
+        else:
+            both = np.array([marked[ids[starts[j] : starts[j + 1]]].sum() for j in others])
+        marked[own] = 0
+        for j in others[both >= similarity * (sizes[i] + sizes[others] - both)].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                classes -= 1
                 left.append(int(node[i]))
                 right.append(int(node[j]))
-        marked[own] = 0
     return left, right
 
 
