@@ -58,3 +58,18 @@ def is_namespace(name: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     """A size in B, KiB, MiB or GiB."""
     return F.when(n < 1 << 10, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / (1 << 10))).when(n < 1 << 30, F.format_string("%.1f MiB", n / (1 << 20))).otherwise(F.format_string("%.1f GiB", n / (1 << 30)))
+
+
+def tile_url(template: Column, zoom: Column, x: Column, y: Column, hosts: list[str], index: Column) -> Column:
+    """A template with its placeholders filled; {s} is dealt from hosts by index."""
+    host = F.element_at(F.array(*map(F.lit, hosts)), (F.pmod(index, F.lit(len(hosts))) + 1).cast("int"))
+    out = F.replace(template, F.lit("{z}"), zoom.cast("string"))
+    out = F.replace(out, F.lit("{x}"), x.cast("string"))
+    return F.replace(F.replace(out, F.lit("{y}"), y.cast("string")), F.lit("{s}"), host)
+
+
+def safe_name(name: Column, default: str = "task") -> Column:
+    """A name that cannot leave its folder."""
+    out = F.replace(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]+', "_"), F.lit(".."), F.lit("_"))
+    out = F.regexp_replace(out, r"^[ ._]+|[ ._]+$", "")
+    return F.when(out == "", default).otherwise(F.coalesce(out, F.lit(default)))

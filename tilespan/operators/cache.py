@@ -110,3 +110,59 @@ def verdict(peak: Column, free: Column, reserved: Column, factor: float = 1.15,
     required = F.floor(peak * factor).cast("long")
     left = F.greatest(F.lit(0).cast("long"), free - reserved)
     return F.struct(required.alias("required"), F.greatest(F.lit(0).cast("long"), required + (reserve_mb << 20) - left).alias("shortfall"))
+
+
+#: Bytes of a DEM granule by dataset, and of a contour tile.
+GRANULE_BYTES = {"COP-DEM-GLO-30": 47185920, "ASTGTM.003": 26214400}
+CONTOUR_TILE_BYTES = 49152
+
+
+def _bytes(value: Column) -> Column:
+    return F.floor(value).cast("long")
+
+
+def dem_estimate(granules: Column, dataset: Column) -> Column:
+    """struct<output, peak>: granules lie in the cache and in the output at once."""
+    each = F.when(dataset == "ASTGTM.003", GRANULE_BYTES["ASTGTM.003"]).otherwise(GRANULE_BYTES["COP-DEM-GLO-30"])
+    total = (granules * each).cast("long")
+    return F.struct(total.alias("output"), (total * 2).alias("peak"))
+
+
+def terrain_estimate(source: Column, float_source: Column, materialise: Column) -> Column:
+    """struct<temp, output, peak> of tiling: several inputs are first made one raster."""
+    temp = F.when(materialise, _bytes(source * F.when(float_source, 1.9).otherwise(0.78))).otherwise(0).cast("long")
+    output = _bytes(source * 0.45)
+    return F.struct(temp.alias("temp"), output.alias("output"), (temp + output).alias("peak"))
+
+
+def contour_estimate(source: Column, tiles: Column) -> Column:
+    """struct<temp, output, peak>: the reprojected raster with its overviews, and the tiles."""
+    temp, output = _bytes(source * 1.2 * (4.0 / 3.0)), (tiles * CONTOUR_TILE_BYTES).cast("long")
+    return F.struct(temp.alias("temp"), output.alias("output"), (temp + output).alias("peak"))
+
+
+def remaining(raw: Column, mirror: Column, container: Column, mosaic: Column, temp: Column, total: Column, done: Column) -> Column:
+    """struct<network, output, peak> of what a running task has still to do; stitching comes last and stays whole."""
+    left = F.when(total > 0, (total - F.greatest(F.lit(0), F.least(done, total))) / total).otherwise(0.0)
+    network, output = _bytes(raw * left), _bytes((mirror + container) * left) + mosaic
+    return F.struct(network.alias("network"), output.alias("output"), (network + output + temp).alias("peak"))
+
+
+def by_category(files: DataFrame, path: str = "path") -> DataFrame:
+    """Bytes and files by the first folder of a path ("" for files at the root), and in all (category null)."""
+    top = F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise("")
+    return files.withColumn("category", top).rollup("category").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files"))
+
+
+def preflight(ranges: DataFrame, keys: list[str], vertices: Column, most_vertices: int = 1_000_000, most_tiles: int = 50_000_000, most_work: int = 20_000_000) -> DataFrame:
+    """Upper bounds of a count's cost from box ranges by zoom, and why it is refused (null: it is not)."""
+    rows = F.col("y1") - F.col("y0") + 1
+    sums = ranges.groupBy(*keys).agg(F.sum(rows * (F.col("x1") - F.col("x0") + 1)).alias("box_tiles"), F.sum(rows).alias("scan_rows"))
+    reason = F.when(vertices > most_vertices, "vertices").when(F.col("box_tiles") > most_tiles, "tiles").when(vertices * F.col("scan_rows") > most_work, "work")
+    return sums.withColumn("refused", reason)
+
+
+def mosaic_complete(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether each key's tiles fill the box they span."""
+    sums = tiles.select(*keys, "x", "y").distinct().groupBy(*keys).agg(F.count("*").alias("tiles"), ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).alias("needed"))
+    return sums.withColumn("complete", F.col("tiles") == F.col("needed"))

@@ -73,3 +73,15 @@ def knee(samples: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
     """The smallest concurrency that reaches `ratio` of the best rate among its key's samples."""
     best = samples.withColumn("best", F.max("rate").over(Window.partitionBy(key)))
     return best.groupBy(key).agg(F.min(F.when(F.col("rate") >= ratio * F.col("best"), F.col("concurrency"))).alias("concurrency"), F.max("best").alias("best_rate"))
+
+
+def migrated(rows: DataFrame) -> DataFrame:
+    """Task rows of older versions: cancelled becomes failed, retrying without a run becomes a decision, running pauses."""
+    state = F.col("status")
+    return rows.withColumn("status", F.when(state == "cancelled", "failed").when(state == "running", "paused").when(state == "retrying", "pending_decision").otherwise(state))
+
+
+def available(ranges: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct availability ranges of a task and of its base together, with the levels they span."""
+    both = ranges.select(*keys).union(base.select(*keys)).distinct()
+    return both.groupBy("level").agg(F.count("*").alias("ranges"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
