@@ -79,10 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op1_quality": op1_quality,
-    "op2_hilbert": op2_hilbert,
-    "op3_simhash": op3_simhash,
-    "op4_quotes": op4_quotes,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
