@@ -71,3 +71,19 @@ def test_verified_in_chunks():
         x, y = root[a], root[b]
         root = [min(x, y) if r in (x, y) else r for r in root]
     assert sorted(repr((i, r)) for i, r in enumerate(root)) == want
+
+
+def test_verified_does_not_depend_on_fingerprints():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64)]
+    assert near_text.verified(np.arange(2), np.array([0, 2**64 - 1], dtype=np.uint64), sets, 0.8) == ([0], [1])
+
+
+def test_pairs_that_bands_and_fingerprints_miss(spark, monkeypatch):
+    """Without any bucket of min-hashes, and with all, few or no shingles coming last."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_text, "_candidates", lambda nodes: nodes.select(near_text.F.col("node").alias("u"), near_text.F.col("node").alias("v")).limit(0))
+    for most, bucket in ((65_536, 4096), (10, 16)):
+        monkeypatch.setattr(near_text, "COMMON", most)
+        monkeypatch.setattr(near_text, "BUCKET", bucket)
+        assert sorted(repr(tuple(r)) for r in near_text.components(docs).collect()) == plain(rows)

@@ -6,6 +6,11 @@ with probability 0.999), the fingerprints in a bucket are compared bit-sliced wi
 that these links make are verified on whole shingle sets: within a cluster, a pair is intersected unless its
 texts are already known to be linked. Verified links make the components.
 
+What bands and fingerprints miss is found exactly: sets of the similarity share one of their first shingles in any
+order that all sets follow (as many as may differ, and one more). The order is by hash, but the COMMON shingles that a
+sample has most often come last, so that few sets meet in one. Nodes that meet so, are not yet in one component and
+are near enough in size and place (`_missed`) are verified pair by pair.
+
 Texts with the same shingle set are one node. Large buckets and clusters are dealt into pairs of chunks.
 
 Defined cases: a null text is the empty text; texts without words are alike, and a text of fewer words than WIDTH
@@ -15,6 +20,7 @@ stays; an empty table gives an empty result; other columns are ignored by `compo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,9 @@ RADIUS = 20
 BUCKET = 4096
 #: Shingles of a chunk of a cluster (on average) that are verified together.
 CHUNK = 1 << 19
+#: Documents (on average) in the sample for, and most, shingles that come last; any choice gives the same components.
+SAMPLE = 20_000
+COMMON = 65_536
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn %d" % k) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
 
 
@@ -64,21 +73,45 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, same (a 128-bit hash of the shingle set), size, fp, keys."""
+def common(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the shingles that come most often in a sample of documents, rising."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingles(t, width).view(np.int64) for t in utf8(batch, "text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made))], ["hash"])
+
+    some = docs.select("text").sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1)
+    top = map_slices(some, each, "hash long", "text").groupBy("hash").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "hash").limit(COMMON)
+    return np.sort(top.select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
+
+
+def leading(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, one of which each set of the similarity has among its own first."""
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
+        hashes = np.r_[hashes[~late], hashes[late]]
+    return hashes[:n]
+
+
+def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles)."""
+    sent = docs.sparkSession.sparkContext.broadcast(common(docs, width))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, fp, keys = [], [], [], []
+        same, size, fp, keys, first = [], [], [], [], []
         for text in utf8(batch, "text").to_pylist():
             h = shingles(text, width)
             same.append(xxhash.xxh3_128_digest(h.tobytes()))
             size.append(len(h))
             fp.append(fingerprint(h))
             keys.append(bands(h).view(np.int64))
-        columns = [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "size", "fp", "keys"])
+            first.append(leading(h, sent.value, similarity).view(np.int64))
+        longs = pa.list_(pa.int64())
+        columns = [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "size", "fp", "keys", "first"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, same binary, size long, fp long, keys array<long>", "text")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, same binary, size long, fp long, keys array<long>, first array<long>", "text")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -111,10 +144,10 @@ def verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarit
             break
         later = slice(i + 1, None)
         able = (label[later] != label[i]) & (np.minimum(sizes[i], sizes[later]) >= similarity * np.maximum(sizes[i], sizes[later]))
-        able &= np.bitwise_count(fp[i] ^ fp[later]) <= RADIUS
         others = np.flatnonzero(able) + i + 1
         if not len(others):
             continue
+        others = others[np.argsort(np.bitwise_count(fp[i] ^ fp[others]), kind="stable")]  # likely links first
         own = ids[starts[i] : starts[i + 1]]
         marked[own] = 1
         if len(others) > n // 8:
@@ -175,14 +208,63 @@ def _verified_links(docs: DataFrame, members: DataFrame, width: int, similarity:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: all pairs of nodes (node, root, doc_id, same, size, first) of different roots that have the similarity."""
+    keyed = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
+    met = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    # dealt_buckets sorts by a column fp; here it is the size.
+    dealt = dealt_buckets(keyed.join(met, "key", "left_semi").select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")), BUCKET)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, cell), (size, node, root, place) in whole_groups(batches, ("key", "cell"), ("fp", "node", "root", "place")):
+            group = runs((key, cell))
+            ends = np.searchsorted(group, group, side="right")
+            for i in range(len(node)):  # sizes rise in a group
+                later = slice(i + 1, i + 1 + int(np.searchsorted(size[i + 1 : ends[i]], size[i] / similarity + 1e-6, side="right")))
+                if later.start == later.stop:
+                    continue
+                both = np.minimum(size[i] - place[i], size[later] - place[later])  # at most, if this is the first shingle they share
+                able = (root[later] != root[i]) & (both >= similarity * (size[i] + size[later] - both) - 1e-6)
+                found = node[later][able]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))], ["u", "v"])
+
+    able = written(dealt.select("key", "cell", "fp", "node", "root", "place").mapInArrow(pairs, "u long, v long").distinct(), "pairs")
+    wanted = able.select(F.col("u").alias("node")).union(able.select("v")).distinct()
+    held = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "same")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingles(t, width).tobytes() for t in utf8(batch, "text").to_pylist()]
+        keep = [k for k, (h, same) in enumerate(zip(made, batch.column("same").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(h) == same]
+        return pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array([made[k] for k in keep], pa.binary())], ["node", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("doc_id", "_id")
+    whole = written(map_slices(texts, sets, "node long, hashes binary", "text").dropDuplicates(["node"]), "sets")
+    both = able.join(whole.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                alike.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+
+
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id reachable by links)."""
-    known = written(sketches(docs, width).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    known = written(sketches(docs, width, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("first").alias("first")), "nodes")
     clusters = connected(_candidates(nodes), "clusters")
     both = clusters.union(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    members = nodes.drop("keys").join(both, "node")
-    roots = connected(_verified_links(docs, members, width, similarity), "near")
+    members = nodes.drop("keys", "first").join(both, "node")
+    near = connected(_verified_links(docs, members, width, similarity), "near")
+    rooted = nodes.drop("keys").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    missed = _missed(docs, rooted, width, similarity)
+    roots = connected(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(missed), "joined")
     found = nodes.select("same", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = found.join(least, "root").select("same", "component_id")
