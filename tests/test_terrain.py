@@ -33,6 +33,8 @@ def test_mesh(k):
     for limit in (3.0, 8.0, 1e9):
         vertices, triangles = terrain.mesh(errors, limit)
         worst, area = triangle_error(heights, vertices, triangles)
+        (r0, c0), (r1, c1), (r2, c2) = (vertices[triangles[:, k]].T for k in range(3))
+        assert ((c1 - c0) * (r0 - r2) - (c2 - c0) * (r0 - r1) > 0).all()  # against the clock, seen with the north up
         assert area == n * n
         edges = np.sort(np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [2, 0]]]), axis=1)
         _, uses = np.unique(edges, axis=0, return_counts=True)
@@ -64,9 +66,29 @@ def test_encode(n):
 
 
 def test_tiles(spark):
-    rows = [(k, r, c, float(k * r + c % 3)) for k in range(3) for r in range(9) for c in range(9)]
-    pixels = spark.createDataFrame(rows, "raster long, row int, col int, elev double")
-    for limit, most in ((None, 128), (0.5, 128)):
-        for t in terrain.encode_tiles(pixels, "raster", limit).collect():
+    rows = [(10, k, 3, [float(k * r + c % 3) if c != r else None for r in range(9) for c in range(9)]) for k in range(3)]
+    blocks = spark.createDataFrame(rows, "level int, x long, y long, heights array<double>")
+    for limit in (None, 0.5):
+        for t in terrain.encode_tiles(blocks, limit, normals=True).collect():
             out = terrain.decode(gzip.decompress(t.tile))
-            assert len(out["u"]) == t.vertices and len(out["triangles"]) == t.triangles <= most
+            assert len(out["u"]) == t.vertices and len(out["triangles"]) == t.triangles <= 128
+            assert out["rest"] == 5 + 2 * t.vertices  # the normals
+            (x, y) = np.array([out["u"], out["v"]])[:, out["triangles"]]
+            assert ((x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0]) > 0).all()
+
+
+def test_normals_point_up_and_lean():
+    bounds = (10.0, 40.0, 10.01, 40.01)
+    flat = terrain.vertex_normals(bounds, np.zeros((9, 9)))
+    up = np.array([np.cos(np.radians(40)) * np.cos(np.radians(10)), np.cos(np.radians(40)) * np.sin(np.radians(10)), np.sin(np.radians(40))])
+    assert (flat @ up > 0.9999).all() and np.allclose(np.linalg.norm(flat, axis=2), 1)
+    east = np.array([-np.sin(np.radians(10)), np.cos(np.radians(10)), 0])
+    rising = terrain.vertex_normals(bounds, np.tile(np.linspace(0, 400, 9), (9, 1)))  # towards the east
+    assert (rising @ east < -0.1).all()
+
+
+def test_layer_availability(spark):
+    tiles = spark.createDataFrame([(3, x, y) for y, xs in ((1, (0, 1, 2, 5)), (2, (7,))) for x in xs] + [(3, 1, 1), (4, 9, 9)], "level int, x long, y long")
+    found = {r.level: [tuple(b) for b in r.ranges] for r in terrain.layer_availability(tiles).collect()}
+    assert found == {3: [(0, 1, 2, 1), (5, 1, 5, 1), (7, 2, 7, 2)], 4: [(9, 9, 9, 9)]}
+    assert terrain.smaller(b"aa", b"bb") == b"aa" and terrain.smaller(b"aaa", b"b") == b"b"

@@ -36,12 +36,23 @@ def exclusive_runs(rows: DataFrame, owner: str, keys: list[str]) -> DataFrame:
 
 
 def points_in_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Points (zoom, x, y) inside any span of their row: an equi-join on the row, then the run that begins last before x."""
-    w = Window.partitionBy("zoom", "y").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    starts = spans.select("zoom", "y", F.col("x0").alias("x"), F.lit(0).alias("kind"), F.col("x1").alias("end"))
-    probes = points.select("*").withColumns({"kind": F.lit(1), "end": F.lit(None).cast("long")})
-    both = starts.unionByName(probes, allowMissingColumns=True).withColumn("reach", F.max("end").over(w))
-    return both.where("kind = 1 and reach >= x").drop("kind", "end", "reach")
+    """Points (zoom, x, y) inside any span of their row.
+
+    Distinct cells are probed, cut into blocks of columns of their row (512 to a row at most); the spans of rows that hold
+    any are cut at the blocks' borders, so that a row with many points is many groups. In a block the span that begins
+    last before x decides.
+    """
+    cells = points.select("zoom", "x", "y").distinct()
+    block = F.greatest(F.lit(64), F.expr("shiftleft(1L, greatest(zoom - 9, 0))"))
+    at = lambda c: F.floor(F.col(c) / block).cast("long")
+    wanted = cells.select("zoom", "y", at("x").alias("b")).distinct()
+    held = spans.join(cells.select("zoom", "y").distinct(), ["zoom", "y"], "left_semi")
+    cut = held.select("zoom", "y", "x0", "x1", F.explode(F.sequence(at("x0"), at("x1"))).alias("b")).join(wanted, ["zoom", "y", "b"], "left_semi")
+    starts = cut.select("zoom", "y", "b", F.greatest("x0", F.col("b") * block).alias("x"), F.lit(0).alias("kind"), F.col("x1").alias("end"))
+    probes = cells.select("zoom", "y", at("x").alias("b"), "x", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
+    w = Window.partitionBy("zoom", "y", "b").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = starts.union(probes).withColumn("reach", F.max("end").over(w)).where("kind = 1 and reach >= x").select("zoom", "x", "y")
+    return points.join(inside, ["zoom", "x", "y"], "left_semi")
 
 
 def usage(files: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -95,9 +106,10 @@ def estimate(zooms: DataFrame, keys: list[str]) -> DataFrame:
     sums = zooms.groupBy(*keys, "style", "output_format", "mbtiles", "cached_share").agg(
         F.sum("tiles").alias("tiles"), F.sum(F.col("tiles") * mean).alias("raw"), F.sum(F.floor(F.col("tiles") * MOSAIC_BYTES * ratio).cast("long")).alias("mosaic"), F.max("tiles").alias("most")
     )
-    stitched = F.col("output_format").isin(*STITCHED_FORMATS)
+    known = F.coalesce(F.col("output_format").isin(*LOOSE_FORMATS, *STITCHED_FORMATS), F.lit(False))
+    stitched = F.col("output_format").isin(*STITCHED_FORMATS) | ~known  # an unknown format costs what the dearest does
     network = F.floor(F.col("raw") * (1 - F.col("cached_share"))).cast("long")
-    mirror = F.when(F.col("output_format").isin(*LOOSE_FORMATS), F.col("raw")).otherwise(0)
+    mirror = F.when(F.col("output_format").isin(*LOOSE_FORMATS) | ~known, F.col("raw")).otherwise(0)
     container = F.when(F.col("mbtiles"), F.floor(F.col("raw") * 1.05).cast("long")).otherwise(0)
     output = mirror + F.when(stitched, F.col("mosaic")).otherwise(0) + container
     temp = F.when(stitched, F.col("most") * MOSAIC_BYTES).otherwise(0)

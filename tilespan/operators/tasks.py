@@ -46,33 +46,85 @@ def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first")).select(*keys, "first.*")
 
 
-def running_time(records: DataFrame, task: str = "task") -> DataFrame:
-    """Seconds between each start or resume and the record that follows; open_since where a task still runs."""
-    w = Window.partitionBy(task).orderBy("ts", "seq")
-    runs = F.col("action").isin("start", "resume")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    seconds = F.floor(F.lead(micros).over(w) / 1_000_000 - micros / 1_000_000).cast("long")
-    steps = records.select(task, "ts", "seq", "action", F.when(runs, seconds).alias("seconds"), (runs & F.lead("ts").over(w).isNull()).alias("open"))
-    return steps.groupBy(task).agg(F.coalesce(F.sum("seconds"), F.lit(0)).alias("running_seconds"), F.max(F.when(F.col("open"), F.col("ts"))).alias("open_since"))
+def running_time(rows: DataFrame, records: DataFrame, now: Column, task: str = "task") -> DataFrame:
+    """task, running_seconds: what is stored (running_seconds of rows) and, of running tasks, the seconds since the last start or resume."""
+    last = records.where(F.col("action").isin("start", "resume")).groupBy(task).agg(F.max("ts").alias("open_since"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    open_ = F.when((F.col("status") == "running") & F.col("open_since").isNotNull(), ((micros(now) - micros(F.col("open_since"))) / 1_000_000).cast("long")).otherwise(0)
+    return rows.join(last, task, "left").select(task, (F.coalesce("running_seconds", F.lit(0)) + open_).alias("running_seconds"))
 
 
 def trailing_rate(samples: DataFrame, key: str, seconds: int = 3) -> DataFrame:
-    """Bytes of the last `seconds` at each sample, and the running total."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
-    window = w.rangeBetween(-seconds * 1_000_000, 0)
-    return samples.select("*", F.sum("bytes").over(window).alias("window_bytes"), F.sum("bytes").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("total_bytes"))
+    """rate: bytes a second at each sample (ts, total: the bytes so far), from the last sample at or before the window's start.
+
+    Where no sample is that old, from the first; without an earlier sample, or one at another time, 0.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(micros)
+    back = F.max(F.struct(micros.alias("t"), F.col("total").alias("b"))).over(w.rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000))
+    first = F.min(F.struct(micros.alias("t"), F.col("total").alias("b"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    start = F.coalesce(back, first)
+    spent = (micros - start["t"]) / 1_000_000
+    return samples.withColumn("rate", F.when(spent > 0, (F.col("total") - start["b"]) / spent).otherwise(0.0))
+
+
+def orphans(rows: DataFrame) -> DataFrame:
+    """Tasks that were at work when their process ended, with the state they go to: running ones pause, retrying ones wait for a decision."""
+    state = F.col("status")
+    return rows.where(state.isin("running", "retrying")).withColumn("recovered_status", F.when(state == "running", "paused").otherwise("pending_decision"))
+
+
+def paused(rows: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with running and retrying tasks paused, and the time records (task, action, ts) that go with it."""
+    active = F.col("status").isin("running", "retrying")
+    records = rows.where(active).select("task", F.lit("pause").alias("action"), at.alias("ts"))
+    return rows.withColumn("status", F.when(active, "paused").otherwise(F.col("status"))), records
+
 
+def refilled(rows: DataFrame, gaps: DataFrame, retryable: tuple[str, ...]) -> DataFrame:
+    """rows; tasks that ended with gaps, failed or wait for a decision are retrying if one of their gaps may be tried again."""
+    again = gaps.where(F.col("outcome").isin(*retryable)).select("task").distinct().withColumn("_again", F.lit(True))
+    able = F.col("status").isin("completed_with_gaps", "pending_decision", "failed") & F.col("_again").isNotNull()
+    return rows.join(again, "task", "left").withColumn("status", F.when(able, "retrying").otherwise(F.col("status"))).drop("_again")
 
-def orphans(rows: DataFrame, now: Column, hours: int) -> DataFrame:
-    """Running or retrying tasks that no one looks after any more, with the state they go to."""
-    stale = F.col("status").isin("running", "retrying") & (F.col("created_at") < now - F.expr(f"INTERVAL {hours} HOURS"))
-    return rows.where(stale).withColumn("recovered_status", F.lit("paused"))
 
+def accepted(status: Column) -> Column:
+    """The state of a task whose gaps the user accepts."""
+    return F.when(status == "pending_decision", "completed_with_gaps").otherwise(status)
 
-def knee(samples: DataFrame, key: str, ratio: float = 0.9) -> DataFrame:
-    """The smallest concurrency that reaches `ratio` of the best rate among its key's samples."""
-    best = samples.withColumn("best", F.max("rate").over(Window.partitionBy(key)))
-    return best.groupBy(key).agg(F.min(F.when(F.col("rate") >= ratio * F.col("best"), F.col("concurrency"))).alias("concurrency"), F.max("best").alias("best_rate"))
+
+def plugin_state(outcome: Column) -> Column:
+    """The state that a plugin's outcome stands for; anything unknown is a failure."""
+    return F.when(outcome.isin("completed", "completed_with_gaps", "failed", "paused", "pending_decision"), outcome).otherwise("failed")
+
+
+def first_named(rows: DataFrame, words: Column) -> DataFrame:
+    """rows whose name holds the words, whatever their case."""
+    return rows.where(F.contains(F.lower("name"), F.lower(F.trim(words))))
+
+
+def throttled(events: DataFrame, key: str, seconds: float = 0.5) -> DataFrame:
+    """Of each key's events (ts), the first, the last, and of each `seconds` between the first one."""
+    w = Window.partitionBy(key).orderBy("ts")
+    slot = F.floor((F.unix_micros("ts") - F.unix_micros(F.min("ts").over(Window.partitionBy(key)))) / int(seconds * 1_000_000))
+    marked = events.withColumn("_slot", slot)
+    return marked.withColumn("_new", F.lag("_slot").over(w).isNull() | (F.lag("_slot").over(w) != F.col("_slot")) | F.lead("_slot").over(w).isNull()).where("_new").drop("_slot", "_new")
+
+
+def knee(samples: DataFrame, key: str, ratio: float = 0.9, rise: float = 1.15) -> DataFrame:
+    """concurrency, best_rate, rising of samples (concurrency, rate, ok: how many succeeded).
+
+    The smallest level that reaches `ratio` of the best rate, levels without a success left out; rising: it is the
+    highest, and beats all below by `rise`.
+    """
+    valid = samples.where("ok > 0")
+    w = Window.partitionBy(key)
+    known = valid.withColumns({"best": F.max("rate").over(w), "top": F.max("concurrency").over(w)})
+    out = known.groupBy(key).agg(
+        F.min(F.when(F.col("rate") >= ratio * F.col("best"), F.col("concurrency"))).alias("concurrency"), F.max("best").alias("best_rate"), F.max("top").alias("top"), F.max(F.when(F.col("concurrency") < F.col("top"), F.col("rate"))).alias("below")
+    )
+    rising = (F.col("concurrency") == F.col("top")) & F.coalesce((F.col("below") > 0) & (F.col("best_rate") >= rise * F.col("below")), F.lit(False))
+    return out.select(key, "concurrency", "best_rate", rising.alias("rising"))
 
 
 def migrated(rows: DataFrame) -> DataFrame:

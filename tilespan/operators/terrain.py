@@ -5,11 +5,13 @@ from __future__ import annotations
 import gzip
 import math
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tilespan.schemas import EARTH_RADIUS, ECCENTRICITY_2
 
@@ -78,7 +80,7 @@ def _raised(errors: np.ndarray) -> np.ndarray:
 
 
 def mesh(errors: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices (row, col) in order of first use, and triangles of vertex numbers, all splits with a larger error done.
+    """Vertices (row, col) in order of first use, and triangles of vertex numbers against the clock, all splits with a larger error done.
 
     Level by level: a triangle (a, b, c) with its right angle at c splits at the middle of ab.
     """
@@ -93,7 +95,7 @@ def mesh(errors: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
         done.append(todo[~split])
         a, b, c, middle = a[split], b[split], c[split], middle[split]
         todo = np.concatenate([np.stack([c, a, middle], axis=1), np.stack([b, c, middle], axis=1)])
-    corners = np.concatenate(done).reshape(-1, 2)
+    corners = np.concatenate(done)[:, [0, 2, 1]].reshape(-1, 2)  # with row 0 in the north, (a, b, c) goes with the clock
     codes = corners[:, 0] * (n + 1) + corners[:, 1]
     _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
     rank = np.argsort(np.argsort(first))
@@ -126,8 +128,35 @@ def _deltas(values: np.ndarray) -> bytes:
     return ((d << 1) ^ (d >> 31)).astype("<u2").tobytes()
 
 
-def encode(bounds: tuple[float, float, float, float], heights: np.ndarray, vertices: np.ndarray, triangles: np.ndarray) -> bytes:
-    """A quantized-mesh 1.0 tile; bounds: west, south, east, north; row 0 of heights is the north."""
+def vertex_normals(bounds: tuple[float, float, float, float], heights: np.ndarray) -> np.ndarray:
+    """Unit normals (rows, cols, 3) of a grid, each the sum of its triangles' normals by their area; heights may be a tile's with a ring around."""
+    west, south, east, north = bounds
+    n = len(heights)
+    lon, lat = np.meshgrid(np.linspace(west, east, n), np.linspace(north, south, n))
+    at = _ecef(lon, lat, heights.astype(np.float64))
+    down, across = at[1:] - at[:-1], at[:, 1:] - at[:, :-1]
+    first = np.cross(down[:, :-1], across[:-1])  # of each cell, the triangle at its north-west corner
+    second = np.cross(down[:, 1:], across[1:])  # and the one at its south-east corner
+    out = np.zeros_like(at)
+    for dr, dc, parts in ((0, 0, (first,)), (0, 1, (first, second)), (1, 0, (first, second)), (1, 1, (second,))):
+        for part in parts:
+            out[dr : n - 1 + dr, dc : n - 1 + dc] += part
+    up = at / np.linalg.norm(at, axis=2, keepdims=True)
+    out *= np.where((out * up).sum(axis=2, keepdims=True) < 0, -1.0, 1.0)
+    size = np.linalg.norm(out, axis=2, keepdims=True)
+    return np.where(size > 0, out / np.maximum(size, 1e-300), up)
+
+
+def oct_bytes(normals: np.ndarray) -> np.ndarray:
+    """Unit vectors as two bytes each on the octahedron, halves rounded up."""
+    flat = normals / np.maximum(np.abs(normals).sum(axis=1, keepdims=True), 1e-300)
+    folded = (1 - np.abs(flat[:, 1::-1])) * np.where(flat[:, :2] >= 0, 1.0, -1.0)
+    on = np.where(flat[:, 2:] < 0, folded, flat[:, :2])
+    return np.floor((np.clip(on, -1, 1) * 0.5 + 0.5) * 255 + 0.5).astype(np.uint8)
+
+
+def encode(bounds: tuple[float, float, float, float], heights: np.ndarray, vertices: np.ndarray, triangles: np.ndarray, normals: np.ndarray | None = None) -> bytes:
+    """A quantized-mesh 1.0 tile; bounds: west, south, east, north; row 0 of heights is the north; normals: of the grid, for the extension 1."""
     west, south, east, north = bounds
     n = len(heights) - 1
     h = heights[vertices[:, 0], vertices[:, 1]].astype(np.float64)
@@ -157,6 +186,9 @@ def encode(bounds: tuple[float, float, float, float], heights: np.ndarray, verti
     for edge in (qu == 0, qv == 0, qu == 32767, qv == 32767):
         found = np.flatnonzero(edge)
         out += struct.pack("<I", len(found)) + found.astype(wide).tobytes()
+    if normals is not None:
+        made = oct_bytes(normals[vertices[:, 0], vertices[:, 1]]).tobytes()
+        out += struct.pack("<BI", 1, len(made)) + made
     return out
 
 
@@ -186,23 +218,44 @@ def decode(data: bytes) -> dict:
     return {"centre": head[:3], "low": head[3], "high": head[4], "u": columns[0], "v": columns[1], "h": columns[2], "triangles": indices.reshape(-1, 3), "edges": edges, "rest": len(data) - at}
 
 
-def encode_tiles(pixels: DataFrame, key: str, max_error: float | None = None) -> DataFrame:
-    """Blocks of pixels (key, row, col, elev; square, row 0 in the north) to gzipped tiles: key, tile, vertices, triangles.
+def smaller(one: bytes, other: bytes) -> bytes:
+    """The smaller of two tiles; of equal ones, the first."""
+    return one if len(one) <= len(other) else other
 
-    Tiles have bounds by their key: geographic level 10, keys along the columns. max_error: a triangulation of that
-    error where a block has 2^k + 1 rows; else the full grid. Null heights are 0. A block is one group, of tile size.
+
+def encode_tiles(blocks: DataFrame, max_error: float | None = None, normals: bool = False) -> DataFrame:
+    """Blocks (level, x, y, heights: array<double> by rows from the north, of a square) to gzipped tiles.
+
+    level, x, y, tile, low, high, vertices, triangles; x and y count geographic tiles from the west and the south.
+    max_error: a triangulation of that error where a block has 2^k + 1 rows; else the full grid. Null heights are 0.
+    A block is one row, so tiles are made where their rows lie, without a shuffle.
     """
 
-    def make(rows: pa.Table) -> pa.Table:
-        n = int(rows["row"].to_numpy().max()) + 1
-        heights = np.zeros((n, n))
-        heights[rows["row"].to_numpy(), rows["col"].to_numpy()] = np.nan_to_num(rows["elev"].to_numpy(zero_copy_only=False).astype(float))
-        owner = rows[key][0].as_py()
-        k = n - 1
-        vertices, triangles = mesh(mesh_errors(heights), max_error) if max_error is not None and k > 1 and not k & (k - 1) else grid_mesh(n)
-        step = 180 / 1024
-        x, y = owner % 2048, owner // 2048 % 1024
-        data = encode((-180 + x * step, -90 + y * step, -180 + (x + 1) * step, -90 + (y + 1) * step), heights, vertices, triangles)
-        return pa.table({key: pa.array([owner], pa.int64()), "tile": pa.array([gzip.compress(data, 6, mtime=0)], pa.binary()), "vertices": pa.array([len(vertices)], pa.int64()), "triangles": pa.array([len(triangles)], pa.int64())})
-
-    return pixels.groupBy(key).applyInArrow(make, f"{key} long, tile binary, vertices long, triangles long")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            levels, xs, ys = (batch.column(c).to_pylist() for c in ("level", "x", "y"))
+            for level, x, y, cells in zip(levels, xs, ys, batch.column("heights"), strict=True):
+                flat = np.nan_to_num(cells.values.to_numpy(zero_copy_only=False).astype(np.float64))
+                n = math.isqrt(len(flat))
+                heights, k = flat.reshape(n, n), n - 1
+                step = 180.0 / (1 << level)
+                bounds = (-180 + x * step, -90 + y * step, -180 + (x + 1) * step, -90 + (y + 1) * step)
+                vertices, triangles = mesh(mesh_errors(heights), max_error) if max_error is not None and k > 1 and not k & (k - 1) else grid_mesh(n)
+                data = encode(bounds, heights, vertices, triangles, vertex_normals(bounds, heights) if normals else None)
+                made.append((gzip.compress(data, 6, mtime=0), float(heights.min()), float(heights.max()), len(vertices), len(triangles)))
+            columns = list(zip(*made, strict=True)) if made else [[]] * 5
+            kinds = [pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+            arrays = [pa.array(levels, pa.int32()), pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["level", "x", "y", "tile", "low", "high", "vertices", "triangles"])
+
+    return blocks.select("level", "x", "y", "heights").mapInArrow(make, "level int, x long, y long, tile binary, low double, high double, vertices long, triangles long")
+
+
+def layer_availability(tiles: DataFrame) -> DataFrame:
+    """level, ranges: a layer document's availability, as disjoint runs of tiles in a row, one list a level."""
+    w = Window.partitionBy("level", "y").orderBy("x")
+    runs = tiles.select("level", "x", "y").distinct().withColumn("g", F.col("x") - F.row_number().over(w))
+    spans = runs.groupBy("level", "y", "g").agg(F.min("x").alias("startX"), F.max("x").alias("endX"))
+    boxes = spans.select("level", "startX", F.col("y").alias("startY"), "endX", F.col("y").alias("endY"))
+    return boxes.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("startX", "startY", "endX", "endY"))).alias("ranges"))

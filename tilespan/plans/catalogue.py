@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilespan.functions import grid
@@ -37,6 +37,9 @@ _PARTS = """parts AS (SELECT region, west, least(east, 180) AS east, south, nort
 )
 
 
+_ALL_PARTS = _PARTS.replace("range(0, 13)", "range(0, 22)")
+
+
 @query(with_views("pts") + f"SELECT id, CAST(z AS INT) AS zoom, {_xyz('lon', 'lat', 'z')} FROM pts, range(0, 22) t(z)")
 def point_to_tile_all_zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans.by_zoom(v.points(spark, sf_dir), 0, 21)
@@ -85,13 +88,13 @@ def region_tile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("regions")
-    + f""", {_PARTS}, rows AS (SELECT region, zoom, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM ranges WHERE zoom <= 8),
-    tiles AS (SELECT DISTINCT region, zoom, y, unnest(range(x0, x1 + 1)) AS x FROM rows),
-    isl AS (SELECT *, x - row_number() OVER (PARTITION BY region, zoom, y ORDER BY x) AS g FROM tiles)
-    SELECT region, zoom, y, min(x) AS x0, max(x) AS x1 FROM isl GROUP BY region, zoom, y, g"""
+    + f""", {_ALL_PARTS}, rows AS (SELECT region, zoom, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM ranges),
+    far AS (SELECT *, max(x1) OVER (PARTITION BY region, zoom, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rows),
+    isl AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY region, zoom, y ORDER BY x0, x1) AS g FROM far)
+    SELECT region, zoom, y, min(x0) AS x0, max(x1) AS x1 FROM isl GROUP BY region, zoom, y, g"""
 )
 def region_row_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 8)
+    return spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21)
 
 
 @query(
@@ -308,34 +311,43 @@ def active_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.tasks(spark, sf_dir).where(tasks.status_filter("active")).select("id", "pipeline", "status", "created_at", progress.alias("progress"))
 
 
-@query(with_views("tasks") + "SELECT id, status, 'paused' AS recovered_status FROM tasks WHERE status IN ('running', 'retrying') AND created_at < TIMESTAMP '2000-01-01' - INTERVAL 24 HOURS")
+@query(with_views("tasks") + "SELECT id, status, CASE status WHEN 'running' THEN 'paused' ELSE 'pending_decision' END AS recovered_status FROM tasks WHERE status IN ('running', 'retrying')")
 def orphan_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.orphans(v.tasks(spark, sf_dir), F.lit("2000-01-01").cast("timestamp"), 24).select("id", "status", "recovered_status")
+    return tasks.orphans(v.tasks(spark, sf_dir)).select("id", "status", "recovered_status")
 
 
 @query(
-    with_views("times")
-    + """, s AS (SELECT *, lead(ts) OVER (PARTITION BY task ORDER BY ts, seq) AS next FROM times)
-    SELECT task, CAST(coalesce(sum(CASE WHEN action IN ('start', 'resume') THEN floor(epoch_us(next) / 1000000::DOUBLE - epoch_us(ts) / 1000000::DOUBLE) END), 0) AS BIGINT) AS running_seconds,
-    max(CASE WHEN action IN ('start', 'resume') AND next IS NULL THEN ts END) AS open_since FROM s GROUP BY task"""
+    with_views("tasks", "times")
+    + """, last AS (SELECT task, max(ts) AS m FROM times WHERE action = 'start' OR action = 'resume' GROUP BY task)
+    SELECT id AS task, id % 1000 + CASE WHEN status = 'running' AND m IS NOT NULL THEN CAST(floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(m)) / 1000000::DOUBLE) AS BIGINT) ELSE 0 END AS running_seconds
+    FROM tasks LEFT JOIN last ON task = id"""
 )
 def running_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.running_time(v.time_records(spark, sf_dir))
+    rows = v.tasks(spark, sf_dir).select(F.col("id").alias("task"), "status", (F.col("id") % 1000).alias("running_seconds"))
+    return tasks.running_time(rows, v.time_records(spark, sf_dir), F.lit("2024-03-01 00:00:00").cast("timestamp"))
 
 
 @query(
     with_views("samples")
-    + """SELECT event_id, task, CAST(sum(bytes) OVER (PARTITION BY task ORDER BY ts RANGE BETWEEN INTERVAL 3 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS window_bytes,
-    CAST(sum(bytes) OVER (PARTITION BY task ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_bytes FROM samples"""
+    + """, t AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY task ORDER BY ts) AS BIGINT) AS total FROM samples),
+    w AS (SELECT *, max(ts) OVER back AS bt, max(total) OVER back AS bb, min(ts) OVER (PARTITION BY task ORDER BY ts) AS ft, min(total) OVER (PARTITION BY task ORDER BY ts) AS fb
+      FROM t WINDOW back AS (PARTITION BY task ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 3 SECONDS PRECEDING)),
+    d AS (SELECT event_id, task, total, (epoch_us(ts) - epoch_us(coalesce(bt, ft))) / 1000000::DOUBLE AS dt, total - coalesce(bb, fb) AS db FROM w)
+    SELECT event_id, task, total AS total_bytes, round(CASE WHEN dt > 0 THEN db / dt ELSE 0 END, 6) AS rate FROM d"""
 )
 def trailing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.trailing_rate(v.byte_samples(spark, sf_dir), "task").select("event_id", "task", "window_bytes", "total_bytes")
+    rows = v.byte_samples(spark, sf_dir)
+    total = F.sum("bytes").over(Window.partitionBy("task").orderBy("ts"))
+    return tasks.trailing_rate(rows.withColumn("total", total), "task").select("event_id", "task", F.col("total").alias("total_bytes"), F.round("rate", 6).alias("rate"))
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey % 50 AS probe, l_linenumber * 10 AS concurrency, CAST(sum(l_quantity) AS DOUBLE) AS rate FROM lineitem GROUP BY ALL), b AS (SELECT *, max(rate) OVER (PARTITION BY probe) AS best FROM s)
-    SELECT probe, min(CASE WHEN rate >= 0.9::DOUBLE * best THEN concurrency END) AS concurrency, max(best) AS best_rate FROM b GROUP BY probe"""
+    """WITH s AS (SELECT l_orderkey % 50 AS probe, l_linenumber * 10 AS concurrency, CAST(sum(l_quantity) AS DOUBLE) AS rate, count(*) FILTER (NOT (l_linenumber = 1 AND l_orderkey % 50 < 10)) AS ok FROM lineitem GROUP BY ALL),
+    v AS (SELECT *, max(concurrency) OVER p AS top, max(rate) OVER p AS best FROM s WHERE ok > 0 WINDOW p AS (PARTITION BY probe)),
+    k AS (SELECT probe, min(concurrency) FILTER (rate >= 0.9::DOUBLE * best) AS concurrency, any_value(best) AS best_rate, any_value(top) AS top, max(rate) FILTER (concurrency < top) AS below FROM v GROUP BY probe)
+    SELECT probe, concurrency, best_rate, concurrency = top AND coalesce(below > 0 AND best_rate >= 1.15::DOUBLE * below, false) AS rising FROM k"""
 )
 def concurrency_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = v.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("probe"), (F.col("l_linenumber") * 10).alias("concurrency")).agg(F.sum("l_quantity").cast("double").alias("rate"))
+    ok = F.count_if(~((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 50 < 10)))
+    samples = v.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("probe"), (F.col("l_linenumber") * 10).alias("concurrency")).agg(F.sum("l_quantity").cast("double").alias("rate"), ok.alias("ok"))
     return tasks.knee(samples, "probe")

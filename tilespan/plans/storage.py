@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from tilespan.functions import grid, text
 from tilespan.operators import cache, config, ledger, polygons, raster, spans, tasks, terrain
 from tilespan.plans import views as v
-from tilespan.plans.catalogue import _LAST, _PARTS, _ledger, point_to_tile_all_zooms, query
+from tilespan.plans.catalogue import _ALL_PARTS, _LAST, _ledger, point_to_tile_all_zooms, query
 from tilespan.plans.views import sql_tile_x, sql_tile_y, with_views
 
 _NS = "style || '-' || substr(md5(CAST(id % 6 AS VARCHAR)), 1, 8)"
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.tasks(spark, sf_dir).where("id % 3 = 0")
-    return rows.withColumn("namespace", F.concat_ws("-", "style", F.substring(F.md5((F.col("id") % 6).cast("string")), 1, 8)))
+    return v.tasks(spark, sf_dir).withColumn("namespace", F.concat_ws("-", "style", F.substring(F.md5((F.col("id") % 6).cast("string")), 1, 8)))
 
 
-_USAGE = f"""owned AS (SELECT id, status, {_NS} AS namespace FROM tasks WHERE id % 3 = 0),
+_USAGE = f"""owned AS (SELECT id, status, {_NS} AS namespace FROM tasks),
     sizes AS (SELECT namespace, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY namespace),
     refs AS (SELECT namespace, count(DISTINCT id) AS tasks, bool_or(status IN ('pending', 'running', 'paused', 'retrying', 'pending_decision') AND id % 2 = 0) AS active FROM owned GROUP BY namespace),
     usage AS (SELECT s.namespace, bytes, files, coalesce(tasks, 0) AS tasks, coalesce(active, false) AS active FROM sizes s LEFT JOIN refs r ON s.namespace = r.namespace)"""
@@ -51,45 +50,47 @@ def evict_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.eviction(_usage(spark, sf_dir), 800_000_000)
 
 
-_SPANS = f"""{_PARTS}, rws AS (SELECT region, zoom, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM ranges WHERE zoom <= 8),
-    tiles AS (SELECT DISTINCT region, zoom, y, unnest(range(x0, x1 + 1)) AS x FROM rws)"""
+_SPANS = f"""{_ALL_PARTS}, rws AS (SELECT region, zoom, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM ranges)"""
+#: Pieces of rows between all ends of spans, with the regions that cover each; merged again where they go on.
+_PIECES = """cuts AS (SELECT zoom, y, x0 AS cut FROM rws UNION SELECT zoom, y, x1 + 1 FROM rws),
+    steps AS (SELECT zoom, y, cut AS a, lead(cut) OVER (PARTITION BY zoom, y ORDER BY cut) - 1 AS b FROM cuts),
+    held AS (SELECT s.zoom, s.y, s.a, s.b, r.region FROM steps s JOIN rws r ON r.zoom = s.zoom AND r.y = s.y AND r.x0 <= s.a AND r.x1 >= s.b WHERE s.b IS NOT NULL)"""
 
 
 @query(
     with_views("regions")
-    + f""", {_SPANS}, one AS (SELECT zoom, y, x, min(region) AS region FROM tiles GROUP BY zoom, y, x HAVING count(*) = 1),
-    isl AS (SELECT *, x - row_number() OVER (PARTITION BY region, zoom, y ORDER BY x) AS g FROM one)
-    SELECT region, zoom, y, min(x) AS x0, max(x) AS x1 FROM isl GROUP BY region, zoom, y, g"""
+    + f""", {_SPANS}, {_PIECES}, one AS (SELECT zoom, y, a, b, min(region) AS region FROM held GROUP BY zoom, y, a, b HAVING count(DISTINCT region) = 1),
+    isl AS (SELECT *, a - sum(b - a + 1) OVER (PARTITION BY region, zoom, y ORDER BY a) + (b - a + 1) AS g FROM one)
+    SELECT region, zoom, y, min(a) AS x0, max(b) AS x1 FROM isl GROUP BY region, zoom, y, g"""
 )
 def exclusive_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alone = cache.exclusive_runs(spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 8), "region", ["zoom", "y"])
+    alone = cache.exclusive_runs(spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21), "region", ["zoom", "y"])
     return spans.merge_runs(alone, ["region", "zoom", "y"])
 
 
 @query(
     with_views("regions")
-    + f""", {_SPANS}, a AS (SELECT DISTINCT zoom, y, x FROM tiles WHERE region % 2 = 0), b AS (SELECT DISTINCT zoom, y, x FROM tiles WHERE region % 2 = 1),
-    d AS (SELECT * FROM a EXCEPT SELECT * FROM b), isl AS (SELECT *, x - row_number() OVER (PARTITION BY zoom, y ORDER BY x) AS g FROM d)
-    SELECT zoom, y, min(x) AS x0, max(x) AS x1 FROM isl GROUP BY zoom, y, g"""
+    + f""", {_SPANS}, {_PIECES}, d AS (SELECT zoom, y, a, b FROM held GROUP BY zoom, y, a, b HAVING bool_and(region % 2 = 0)),
+    isl AS (SELECT *, a - sum(b - a + 1) OVER (PARTITION BY zoom, y ORDER BY a) + (b - a + 1) AS g FROM d)
+    SELECT zoom, y, min(a) AS x0, max(b) AS x1 FROM isl GROUP BY zoom, y, g"""
 )
 def span_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 8)
+    rows = spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21)
     return spans.subtract(rows.where("region % 2 = 0"), rows.where("region % 2 = 1"), ["zoom", "y"])
 
 
 @query(
     with_views("regions", "pts")
-    + f""", {_SPANS}, p AS (SELECT id, CAST(z AS INT) AS zoom, {sql_tile_x('lon', 'z')} AS x, {sql_tile_y('lat', 'z')} AS y FROM pts, range(3, 9) t(z))
-    SELECT id, zoom, x, y FROM p WHERE EXISTS (SELECT 1 FROM tiles t WHERE t.zoom = p.zoom AND t.y = p.y AND t.x = p.x)"""
+    + f""", {_SPANS}, p AS (SELECT id, CAST(z AS INT) AS zoom, {sql_tile_x('lon', 'z')} AS x, {sql_tile_y('lat', 'z')} AS y FROM pts, range(0, 22) t(z))
+    SELECT id, zoom, x, y FROM p WHERE EXISTS (SELECT 1 FROM rws t WHERE t.zoom = p.zoom AND t.y = p.y AND p.x BETWEEN t.x0 AND t.x1)"""
 )
 def points_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = point_to_tile_all_zooms(spark, sf_dir).where("zoom BETWEEN 3 AND 8")
-    return cache.points_in_spans(points, spans.row_spans(v.regions(spark, sf_dir), ["region"], 3, 8))
+    return cache.points_in_spans(point_to_tile_all_zooms(spark, sf_dir), spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21))
 
 
 @query(
     with_views("obs", "files")
-    + f""", {_LAST}, w AS (SELECT DISTINCT task, (['m', 's', 'y', 't'])[task % 4 + 1] || '-' || substr(md5(CAST(task % 12 AS VARCHAR)), 1, 8) AS namespace, zoom, x, y FROM obs WHERE zoom <= 8),
+    + f""", {_LAST}, w AS (SELECT DISTINCT task, (['m', 's', 'y', 't'])[task % 4 + 1] || '-' || substr(md5(CAST(task % 12 AS VARCHAR)), 1, 8) AS namespace, zoom, x, y FROM obs),
     c AS (SELECT DISTINCT namespace, zoom, x, y, true AS cached FROM files),
     j AS (SELECT w.*, coalesce(cached, false) AS hit, outcome FROM w LEFT JOIN c USING (namespace, zoom, x, y) LEFT JOIN (SELECT * FROM lastobs WHERE outcome <> 'success') l USING (task, zoom, x, y))
     SELECT task, namespace, zoom, x, y, CASE WHEN hit THEN 'hit' ELSE 'pending' END AS state, hit AND outcome IS NOT NULL AS stale, NOT hit AND coalesce(outcome IN ('retryable_failure', 'cache_failure'), false) AS retry FROM j"""
@@ -97,7 +98,7 @@ def points_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.element_at(F.array(*map(F.lit, "msyt")), (F.col("task") % 4 + 1).cast("int"))
     namespace = F.concat_ws("-", style, F.substring(F.md5((F.col("task") % 12).cast("string")), 1, 8))
-    wanted = v.observations(spark, sf_dir).where("zoom <= 8").select("task", namespace.alias("namespace"), "zoom", "x", "y").distinct()
+    wanted = v.observations(spark, sf_dir).select("task", namespace.alias("namespace"), "zoom", "x", "y").distinct()
     gaps = _ledger(spark, sf_dir).where(ledger.is_gap(F.col("outcome")))
     return ledger.reconcile(wanted, v.files(spark, sf_dir), gaps, ["zoom", "x", "y"], ["namespace"])
 
@@ -182,15 +183,15 @@ def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_views("pixels", "pts")
-    + """, s AS (SELECT id, id % 500 AS raster, CAST(id * 37 % 100 AS DOUBLE) / 11 - 0.5::DOUBLE AS x, CAST(id * 53 % 100 AS DOUBLE) / 11 - 0.5::DOUBLE AS y FROM pts),
+    + """, s AS (SELECT id, id % (SELECT max(vec_id) + 1 FROM embeddings) AS raster, CAST(id * 37 % 100 AS DOUBLE) / 11 - 0.5::DOUBLE AS x, CAST(id * 53 % 100 AS DOUBLE) / 11 - 0.5::DOUBLE AS y FROM pts),
     c AS (SELECT id, raster, greatest(0, least(6, CAST(floor(x) AS INT))) AS c, greatest(0, least(6, CAST(floor(y) AS INT))) AS r, x, y FROM s),
     f AS (SELECT *, greatest(0, least(1, x - c)) AS fx, greatest(0, least(1, y - r)) AS fy FROM c)
     SELECT f.id, f.raster, round(sum(coalesce(p.elev, 0) * CASE WHEN p.row = f.r THEN 1 - fy ELSE fy END * CASE WHEN p.col = f.c THEN 1 - fx ELSE fx END), 6) AS height
     FROM f JOIN pixels p ON p.raster = f.raster AND p.row IN (f.r, f.r + 1) AND p.col IN (f.c, f.c + 1) GROUP BY f.id, f.raster"""
 )
 def bilinear_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("id")
-    samples = v.points(spark, sf_dir).select("id", (k % 500).alias("raster"), ((k * 37 % 100).cast("double") / 11).alias("px"), ((k * 53 % 100).cast("double") / 11).alias("py"))
+    k, n = F.col("id"), v.table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0] or 1
+    samples = v.points(spark, sf_dir).select("id", (k % n).alias("raster"), ((k * 37 % 100).cast("double") / 11).alias("px"), ((k * 53 % 100).cast("double") / 11).alias("py"))
     pixels = v.pixels(spark, sf_dir)
     held = samples.join(pixels.select("raster").distinct(), "raster", "left_semi")
     return raster.bilinear(held, pixels, 8, 8).select("id", "raster", F.round("height", 6).alias("height"))
@@ -241,23 +242,31 @@ def zigzag_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"SELECT page_id, 'GET https://***:***@tiles.example.com/' || page_id || '?tk=***&x=1&api_key=*** Bearer *** password = ***; note: ok' AS redacted, regexp_replace(url, '(?i)([?&](?:tk|sig|[^=&#?[:space:]]*(?:token|key|secret|signature|password|passwd|credential|auth)[^=&#?[:space:]]*)=)[^&#[:space:]]*', '\\1***', 'g') AS masked_url FROM pages")
+def _sql_rules(column: str, rules: tuple[tuple[str, str], ...]) -> str:
+    """Nested regexp_replace calls of redaction rules."""
+    for pattern, instead in rules:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{instead.replace('$', chr(92))}', 'g')"
+    return column
+
+
+@query(f"SELECT page_id, 'GET https://***:***@tiles.example.com/' || page_id || '?tk=***&x=1&api_key=*** Bearer *** password = ***; note: ok' AS redacted, {_sql_rules('url', text.URL_RULES)} AS masked_url, {_sql_rules(_sql_rules('html', text.URL_RULES), text.TEXT_RULES)} AS masked_page FROM pages")
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id").cast("string")
     said = F.concat(F.lit("GET https://user"), k, F.lit(":pw@tiles.example.com/"), k, F.lit("?tk=abc"), k, F.lit("&x=1&api_key=zz Bearer abcd"), k, F.lit(" password = hunter"), k, F.lit("; note: ok"))
-    return v.table(spark, sf_dir, "pages").select("page_id", text.redact(said).alias("redacted"), text.mask_url(F.col("url")).alias("masked_url"))
+    return v.table(spark, sf_dir, "pages").select("page_id", text.redact(said).alias("redacted"), text.mask_url(F.col("url")).alias("masked_url"), text.redact(F.col("html")).alias("masked_page"))
 
 
 @query(
-    """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '2024-01-0' || (turn % 9 + 1) || ' 10:00:00 INFO ' ELSE '' END || regexp_replace(left(text, 40), '[\\n\\r]', ' ', 'g') AS line FROM conversations),
-    n AS (SELECT *, sum((regexp_matches(line, '^\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d'))::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM l)
-    SELECT conv_id, CAST(entry AS BIGINT) AS entry, max(CASE WHEN turn % 3 = 0 THEN left(line, 19) END) AS time, max(CASE WHEN turn % 3 = 0 THEN 'INFO' END) AS level,
-    string_agg(CASE WHEN turn % 3 = 0 THEN substr(line, 26) ELSE line END, chr(10) ORDER BY turn) AS message FROM n WHERE entry > 0 GROUP BY conv_id, entry"""
+    """WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS parts FROM conversations),
+    l AS (SELECT conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM t),
+    n AS (SELECT *, turn % 3 = 0 AND line_no = 1 AS head, sum((turn % 3 = 0 AND line_no = 1)::INT) OVER (PARTITION BY conv_id ORDER BY turn, line_no) AS entry FROM l)
+    SELECT conv_id, CAST(entry AS BIGINT) AS entry, max(CASE WHEN head THEN '2024-01-0' || (turn % 9 + 1) || ' 10:00:00' END) AS time, max(CASE WHEN head THEN 'INFO' END) AS level,
+    string_agg(CASE WHEN head THEN regexp_replace(line, '^[\\s]+', '') ELSE line END, chr(10) ORDER BY turn, line_no) AS message FROM n WHERE entry > 0 GROUP BY conv_id, entry"""
 )
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"), F.lit(" 10:00:00 INFO "))).otherwise("")
-    lines = v.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.regexp_replace(F.substring("text", 1, 40), "[\n\r]", " ")).alias("line"))
-    return text.log_entries(lines, "conv_id", "turn", "line")
+    head = F.when((F.col("turn") % 3 == 0) & (F.col("at") == 0), F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"), F.lit(" 10:00:00 INFO "))).otherwise("")
+    lines = v.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "said"))
+    return text.log_entries(lines.select("conv_id", F.struct("turn", "at").alias("place"), F.concat(head, "said").alias("line")), "conv_id", "place", "line")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || '/{z}/{x}/{y}.png' || CASE WHEN page_id % 4 = 1 THEN '?v=2' ELSE '' END END AS template FROM pages")
@@ -310,9 +319,31 @@ def polygon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons.polygon_spans(_shapes(spark, sf_dir), "region", 0, 12)
 
 
-@query()
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """65 x 65 heights of each embedding, at level 10."""
+    v0 = F.transform("embedding", lambda e: e.cast("double") * 1000)
+    rows = v.table(spark, sf_dir, "embeddings").withColumn("v", v0)
+    heights = F.transform(F.sequence(F.lit(0), F.lit(65 * 65 - 1)), lambda i: F.get("v", i % F.size("v")))
+    return rows.select(F.lit(10).alias("level"), (F.col("vec_id") % 2048).alias("x"), (F.floor(F.col("vec_id") / 2048) % 1024).alias("y"), heights.alias("heights"))
+
+
+@query(
+    """SELECT CAST(10 AS INT) AS level, vec_id % 2048 AS x, (vec_id // 2048) % 1024 AS y, list_min(embedding)::DOUBLE * 1000 AS low, list_max(embedding)::DOUBLE * 1000 AS high,
+    CAST(4225 AS BIGINT) AS vertices, CAST(8192 AS BIGINT) AS triangles FROM embeddings"""
+)
 def terrain_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.encode_tiles(v.pixels(spark, sf_dir), "raster")
+    return terrain.encode_tiles(_blocks(spark, sf_dir)).drop("tile")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT CAST(6 + l_linenumber % 6 AS INT) AS level, (l_partkey * 31) % 64 AS x, (l_suppkey * 17) % 32 AS y FROM lineitem),
+    r AS (SELECT *, x - row_number() OVER (PARTITION BY level, y ORDER BY x) AS g FROM t), s AS (SELECT level, y, min(x) AS a, max(x) AS b FROM r GROUP BY level, y, g)
+    SELECT level, count(*) AS runs, string_agg(a || ',' || y || ',' || b || ',' || y, ';' ORDER BY a, y, b) AS ranges FROM s GROUP BY level"""
+)
+def layer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.table(spark, sf_dir, "lineitem").select((6 + F.col("l_linenumber") % 6).cast("int").alias("level"), (F.col("l_partkey") * 31 % 64).alias("x"), (F.col("l_suppkey") * 17 % 32).alias("y"))
+    text_of = F.array_join(F.transform("ranges", lambda r: F.concat_ws(",", r.startX, r.startY, r.endX, r.endY)), ";")
+    return terrain.layer_availability(rows).select("level", F.size("ranges").cast("long").alias("runs"), text_of.alias("ranges"))
 
 
 _RULES = "r(key, low, high, whole) AS (VALUES ('concurrency', 1, 50, true), ('speed_limit', 0, 1000, false), ('zoom', 0, 21, true))"
