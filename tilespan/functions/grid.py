@@ -146,3 +146,83 @@ def overview_factors(width, height, least: int = 32) -> Column:
     """2, 4, 8, ... while the longest side, so divided, is at least `least`."""
     side = F.greatest(_col(width), _col(height))
     return F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.pow(F.lit(2.0), k).cast("int")), lambda f: side / f >= least)
+
+
+#: Half of the equator in metres of EPSG:3857, metres of a pixel at zoom 0, metres of a degree.
+ORIGIN_SHIFT = 20037508.342789244
+PIXEL_AT_ZERO = 156543.03392
+DEGREE_METRES = 111320.0
+
+
+def tile_y_asinh(lat, zoom) -> Column:
+    """tile_y by asinh(tan), as renderers of contours have it."""
+    n = tiles_across(zoom)
+    phi = F.radians(F.greatest(F.lit(-WEB_MERCATOR_MAX_LAT), F.least(F.lit(WEB_MERCATOR_MAX_LAT), _col(lat))))
+    return _clamp((1.0 - F.asinh(F.tan(phi)) / math.pi) / 2.0 * n, n)
+
+
+def tile_metres(zoom, x, y) -> Column:
+    """struct<xmin, ymin, xmax, ymax> of an XYZ tile in EPSG:3857."""
+    size = F.lit(2 * ORIGIN_SHIFT) / tiles_across(zoom)
+    xmin, ymax = _col(x) * size - ORIGIN_SHIFT, F.lit(ORIGIN_SHIFT) - _col(y) * size
+    return F.struct(xmin.alias("xmin"), (ymax - size).alias("ymin"), (xmin + size).alias("xmax"), ymax.alias("ymax"))
+
+
+def tile_geotransform(zoom, x, y, width, height) -> Column:
+    """The six numbers that place a tile's pixels in EPSG:3857."""
+    at, size = tile_metres(zoom, x, y), F.lit(2 * ORIGIN_SHIFT) / tiles_across(zoom)
+    return F.array(at.xmin, size / _col(width), F.lit(0.0), at.ymax, F.lit(0.0), -size / _col(height))
+
+
+def geographic_extent(level, x, y) -> Column:
+    """struct<west, south, east, north> of a geographic tile that counts from the south-west; each edge worked out by itself."""
+    nx, ny = tiles_across(_col(level) + 1), tiles_across(level)
+    edge = lambda i, n, span, origin: F.lit(origin) + F.lit(span) * i / n
+    return F.struct(edge(_col(x), nx, 360.0, -180.0).alias("west"), edge(_col(y), ny, 180.0, -90.0).alias("south"), edge(_col(x) + 1, nx, 360.0, -180.0).alias("east"), edge(_col(y) + 1, ny, 180.0, -90.0).alias("north"))
+
+
+def level_error(level, tile_size: int = 65, k: float = 1.0) -> Column:
+    """Metres that a mesh of a level may be off: k times the distance of its vertices."""
+    return F.lit(180.0) / tiles_across(level) / max(1, tile_size - 1) * DEGREE_METRES * k
+
+
+def max_zoom_3857(pixel_metres, least=0) -> Column:
+    """The zoom whose tiles are one level finer than a raster's pixels, from `least` to MAX_ZOOM; unknown pixels: MAX_ZOOM."""
+    z = F.ceil(F.log2(F.lit(PIXEL_AT_ZERO) / _col(pixel_metres))).cast("int") + 1
+    return F.when(_col(pixel_metres) <= 0, F.lit(MAX_ZOOM)).otherwise(F.least(F.lit(MAX_ZOOM), F.greatest(_col(least), z)))
+
+
+#: Tiling qualities and the levels that they add.
+QUALITY_OFFSETS = {"precision": 1, "balanced": 0, "speed": -1}
+
+
+def level_by_quality(pixel_degrees, quality: str = "balanced") -> Column:
+    """The last level that a quality makes of a raster; the offset comes before the clamp. Unknown pixels: null."""
+    level = F.greatest(F.lit(0), F.least(F.lit(MAX_ZOOM), max_level(pixel_degrees) + QUALITY_OFFSETS[quality]))
+    return F.when(_col(pixel_degrees) > 0, level.cast("int"))
+
+
+def to_pixel(geotransform: Column, lon, lat) -> Column:
+    """struct<px, py>: where a place lies in a raster, in pixels from its corner."""
+    g = [F.get(geotransform, F.lit(k)) for k in range(6)]
+    dx, dy, det = _col(lon) - g[0], _col(lat) - g[3], g[1] * g[5] - g[2] * g[4]
+    return F.struct(((g[5] * dx - g[2] * dy) / det).alias("px"), ((g[1] * dy - g[4] * dx) / det).alias("py"))
+
+
+def raster_bounds(geotransform: Column, width, height) -> Column:
+    """struct<west, south, east, north> of a raster's four corners."""
+    g = [F.get(geotransform, F.lit(k)) for k in range(6)]
+    corner = [(g[0] + px * g[1] + py * g[2], g[3] + px * g[4] + py * g[5]) for px in (F.lit(0), _col(width)) for py in (F.lit(0), _col(height))]
+    xs, ys = [c[0] for c in corner], [c[1] for c in corner]
+    return F.struct(F.least(*xs).alias("west"), F.least(*ys).alias("south"), F.greatest(*xs).alias("east"), F.greatest(*ys).alias("north"))
+
+
+def whole_degrees(north, south, east, west) -> Column:
+    """struct<north, south, east, west>: the box of all one-degree cells that a box meets."""
+    up = lambda v: F.floor(_col(v) - 1e-12) + 1
+    return F.struct(up(north).alias("north"), F.floor(_col(south)).alias("south"), up(east).alias("east"), F.floor(_col(west)).alias("west"))
+
+
+def water_name(lat, lon) -> Column:
+    """Name of a cell's water granule; none beyond 83 degrees."""
+    return F.when(F.abs(_col(lat)) <= 83, F.concat(F.lit("ASTWBDV001_"), granule_id(lat, lon), F.lit("_att.tif")))

@@ -24,6 +24,13 @@ def with_defaults(entries: DataFrame, defaults: DataFrame) -> DataFrame:
     return entries.select("key", "value").unionByName(defaults.select("key", "value").join(entries, "key", "left_anti"))
 
 
+def upsert(entries: DataFrame, changes: DataFrame, unchanged: str = "__TF_UNCHANGED__") -> DataFrame:
+    """entries (key, value) after changes, with whether each was changed; a value that is the mark for "as it was" changes nothing."""
+    new = changes.where((F.col("value") != unchanged) | F.col("value").isNull()).select("key", F.col("value").alias("new"), F.lit(True).alias("changed"))
+    both = entries.select("key", "value").join(new, "key", "full_outer")
+    return both.select("key", F.when(F.col("changed"), F.col("new")).otherwise(F.col("value")).alias("value"), F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 def geocoded(answers: DataFrame, column: str) -> DataFrame:
     """answers with the first hit's west, south, east, north and name, from a FeatureCollection's bbox or a list's boundingbox; no hit: no row."""
     box = F.from_json(F.get_json_object(column, "$.features[0].bbox"), "array<double>")

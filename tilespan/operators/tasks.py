@@ -106,7 +106,8 @@ def first_named(rows: DataFrame, words: Column) -> DataFrame:
 def throttled(events: DataFrame, key: str, seconds: float = 0.5) -> DataFrame:
     """Of each key's events (ts), the first, the last, and of each `seconds` between the first one."""
     w = Window.partitionBy(key).orderBy("ts")
-    slot = F.floor((F.unix_micros("ts") - F.unix_micros(F.min("ts").over(Window.partitionBy(key)))) / int(seconds * 1_000_000))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    slot = F.floor((micros - F.min(micros).over(Window.partitionBy(key))) / int(seconds * 1_000_000))
     marked = events.withColumn("_slot", slot)
     return marked.withColumn("_new", F.lag("_slot").over(w).isNull() | (F.lag("_slot").over(w) != F.col("_slot")) | F.lead("_slot").over(w).isNull()).where("_new").drop("_slot", "_new")
 
