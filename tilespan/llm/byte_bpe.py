@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -25,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespan.llm.common import map_slices, written
+from tilespan.llm.common import in_slices, map_slices, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 32768
@@ -138,18 +139,42 @@ def _encoded(spans: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_slices(spans, each, "rid long, first long, n_tokens long, ids string, raw binary", "text")
 
 
+def _cut(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """rid, part, at, size, last, text: the chunks of long texts, each of which runs into the next, dealt over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        for batch in in_slices(batches, "text"):
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                starts = range(0, len(text), chunk)
+                for k in range(0, len(starts), 64):
+                    rows = [(rid, at // chunk, at, chunk, at + chunk + overlap >= len(text), text[at : at + chunk + overlap]) for at in starts[k : k + 64]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "part", "at", "size", "last", "text"])
+
+    return long.select("rid", "text").mapInArrow(run, "rid long, part int, at long, size long, last boolean, text string").repartition("rid", "part")
+
+
+def _cut_again(spans: DataFrame, long: DataFrame) -> DataFrame:
+    """rid, first, text of stitched spans, dealt over tasks; a text meets its spans' starts once."""
+    starts = spans.groupBy("rid").agg(F.array_sort(F.collect_list("first")).alias("starts"))  # a number for each chunk of a text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            for rid, text, firsts in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+                ends = [*firsts[1:], len(text)]
+                for k in range(0, len(firsts), 64):
+                    rows = [(rid, a, text[a:b]) for a, b in zip(firsts[k : k + 64], ends[k : k + 64], strict=True) if b > a or a == 0]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["rid", "first", "text"])
+
+    return long.join(starts, "rid").select("rid", "text", "starts").mapInArrow(run, "rid long, first long, text string").repartition("rid", "first")
+
+
 def pieces(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """rid, doc_id, first, n_tokens, ids, raw: the encoded spans of the texts longer than a chunk, ordered by first."""
     long = written(docs.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "long-texts")
-    parts = F.ceil(F.length("text") / chunk).cast("int")
-    cut = long.select("rid", "text", F.length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    at = (F.col("part") * F.lit(chunk)).cast("long")
-    chunks = cut.select("rid", "part", at.alias("at"), F.lit(chunk).cast("long").alias("size"), (at + chunk + overlap >= F.col("n")).alias("last"), F.substring("text", at.cast("int") + 1, F.lit(chunk + overlap)).alias("text"))
-    spans = _spans(_boundaries(chunks, path, pattern, overlap))
-    size = F.coalesce(F.col("until"), F.length("text").cast("long")) - F.col("first")
-    cut_again = spans.join(long, "rid").where((size > 0) | (F.col("first") == 0))
-    texts = cut_again.select("rid", "first", F.substring("text", (F.col("first") + 1).cast("int"), size.cast("int")).alias("text"))
-    return _encoded(texts, path, pattern).join(long.select("rid", "doc_id"), "rid")
+    spans = _spans(_boundaries(_cut(long, chunk, overlap), path, pattern, overlap))
+    return _encoded(_cut_again(spans, long), path, pattern).join(long.select("rid", "doc_id"), "rid")
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespan.llm.common import map_slices, utf8, written
+from tilespan.llm.common import map_slices, unused, utf8, written
 
 MIN_CHUNK = 512
 MASK_BITS = 11
@@ -145,7 +145,8 @@ def decisions(docs: DataFrame, fp_bytes: int = FP_BYTES) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = decisions(docs).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha_of", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_sha_of") == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha_of"]).drop("_sha_of")
+    sha, at, stay = unused(docs.columns, "sha", "at", "stay")
+    kept = decisions(docs).where("kept").select(F.col("doc_id").alias(at), F.col("text_sha256").alias(stay))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(sha) == F.col(stay)), "left_semi")
+    return found.dropDuplicates(["doc_id", sha]).drop(sha)

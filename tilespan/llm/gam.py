@@ -182,9 +182,9 @@ def _featured(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, allowed: F.Column, most: int = SAMPLE) -> Model:
-    """A model of labels[column]; allowed: which rows of labels may be learnt from."""
+    """A model of labels[column]; allowed: which rows of labels may be learnt from. Of several texts of a doc_id the least counts."""
     chosen = F.broadcast(sampled(labels, column, allowed, most))  # `most` rows of two numbers at most
-    rows = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])).toArrow()
+    rows = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))).toArrow()
     if not rows.num_rows:
         return train(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.array(rows["x"].to_pylist())

@@ -10,8 +10,8 @@ Only the index's scale and range bounds are fitted on a sample (SAMPLE vectors,
 vec_id); every vector is indexed. Vectors without a direction in common (isotropic ones) have neighbours anywhere
 along a curve, so these windows are wide: recall at 20 is about 0.95 there, and higher on clustered vectors.
 
-Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose
-length is not the commonest, nor rows with a null vec_id; equal vectors are searched once, whatever their number,
+Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do
+rows with a null vec_id; vectors of another length than the query's have no product with it and are no candidates; equal vectors are searched once, whatever their number,
 and each gives its smallest vec_ids; rows that repeat vec_id and vector count once, and rows with the query's
 vec_id are its own; an empty table gives an empty result; other columns are ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tilespan.llm.common import written
 
-CURVES = 8
+CURVES = 10
 DIMS = 4
 BITS = 8
 RANGES = 16
@@ -101,9 +101,7 @@ def _usable(table: DataFrame, vector: str) -> DataFrame:
     v = F.col("v")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    return rows.where(finite & F.exists(v, lambda x: x != 0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -115,8 +113,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def search(table: DataFrame, is_query: F.Column, k: int = 20, vector: str = "embedding", curves: int = CURVES, ranges: int = RANGES, near: int = NEAR) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (on vec_id) holds."""
-    spark = table.sparkSession
     rows = _usable(table, vector)
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())  # a number for each length of vectors
+    if len(lengths) == 1:
+        return _search(rows, is_query, k, curves, ranges, near)
+    found = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        found = found.union(_search(rows.where(F.size("v") == n), is_query, k, curves, ranges, near))
+    return found
+
+
+def _search(rows: DataFrame, is_query: F.Column, k: int, curves: int, ranges: int, near: int) -> DataFrame:
+    """search among vectors of one length."""
+    spark = rows.sparkSession
     # Of equal vectors, k + 1 ids are enough for any query; ties go to the smallest.
     few = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     vectors = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))

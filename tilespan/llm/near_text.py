@@ -14,8 +14,8 @@ are near enough in size and place (`_missed`) are verified pair by pair.
 Texts with the same shingle set are one node. Large buckets and clusters are dealt into pairs of chunks.
 
 Defined cases: a null text is the empty text; texts without words are alike, and a text of fewer words than WIDTH
-is one shingle; a null doc_id sorts above all others; rows that repeat a doc_id are one document, of which one row
-stays; an empty table gives an empty result; other columns are ignored by `components` and kept by `deduplicate`.
+is one shingle; a null doc_id sorts above all others; rows that repeat a doc_id are told apart by their texts, and of
+rows that repeat both, one stays; an empty table gives an empty result; other columns are ignored by `components` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespan.llm.common import connected, map_slices, utf8, written
-from tilespan.llm.simhash import bucket_links, dealt_buckets, runs, whole_groups
+from tilespan.llm.simhash import bucket_links, dealt_buckets, one_of_each, runs, whole_groups
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -95,7 +95,7 @@ def leading(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarr
 
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles)."""
+    """doc_id, sha (of the text), same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles)."""
     sent = docs.sparkSession.sparkContext.broadcast(common(docs, width))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -108,10 +108,11 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             keys.append(bands(h).view(np.int64))
             first.append(leading(h, sent.value, similarity).view(np.int64))
         longs = pa.list_(pa.int64())
-        columns = [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "size", "fp", "keys", "first"])
+        columns = [batch.column("doc_id"), batch.column("sha"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "same", "size", "fp", "keys", "first"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, same binary, size long, fp long, keys array<long>, first array<long>", "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return map_slices(source, each, "doc_id long, sha string, same binary, size long, fp long, keys array<long>, first array<long>", "text")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -254,8 +255,8 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
     return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, component_id (the least doc_id reachable by links)."""
+def _rooted(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, sha, root (a node), component_id of each row of docs."""
     known = written(sketches(docs, width, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("first").alias("first")), "nodes")
     clusters = connected(_candidates(nodes), "clusters")
@@ -267,11 +268,15 @@ def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     roots = connected(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(missed), "joined")
     found = nodes.select("same", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = found.join(least, "root").select("same", "component_id")
-    return known.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
+    by_set = found.join(least, "root").select("same", "root", "component_id")
+    return known.select("doc_id", "sha", "same").join(by_set, "same").select("doc_id", "sha", "root", "component_id")
+
+
+def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: doc_id, component_id (the least doc_id reachable by links)."""
+    return _rooted(docs, width, similarity).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs for each component, the one with the least doc_id, with all columns."""
-    stay = components(docs, width, similarity).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component, with all columns: the one with the least doc_id, and of rows that repeat it, the least text hash."""
+    return one_of_each(docs, _rooted(docs, width, similarity))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespan.llm.common import connected, map_slices, utf8, written
+from tilespan.llm.common import connected, map_slices, unused, utf8, written
 
 RADIUS = 2
 SEED = 42
@@ -54,13 +54,14 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, sha (of the text), fp (the 64 bits as a signed long)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, width) for x in utf8(batch, "text").to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(fps.view(np.int64))], ["doc_id", "sha", "fp"])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, fp long", "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return map_slices(source, each, "doc_id long, sha string, fp long", "text")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -215,18 +216,30 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return dealt.select("key", "cell", "fp").mapInArrow(run, "u long, v long").distinct()
 
 
-def components(docs: DataFrame, width: int = 5, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the least doc_id reachable by links)."""
+def _rooted(docs: DataFrame, width: int, radius: int, bucket: int) -> DataFrame:
+    """doc_id, sha, fp, root (a fingerprint), component_id of each row of docs."""
     prints = written(fingerprints(docs, width), "prints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(links(groups.select("fp"), radius, bucket), "prints-links")
     joined = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(joined.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def components(docs: DataFrame, width: int = 5, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the least doc_id reachable by links)."""
+    return _rooted(docs, width, radius, bucket).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of docs with the least doc_id (null last), then the least hash of its text, of each root; rooted: doc_id, sha, root."""
+    sha, at, stay = unused(docs.columns, "sha", "at", "stay")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "sha")).alias("s")).select(F.col("s.doc_id").alias(at), F.col("s.sha").alias(stay))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(sha) == F.col(stay)), "left_semi")
+    return found.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of docs for each component, the one with the least doc_id, with all columns; of rows that repeat it, one."""
-    stay = components(docs, width).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component, with all columns: the one with the least doc_id, and of rows that repeat it, the least text hash."""
+    return one_of_each(docs, _rooted(docs, width, RADIUS, BUCKET))

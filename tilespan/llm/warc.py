@@ -5,8 +5,8 @@ the archive itself; each record follows as a frame of its own, so that any recor
 that occur more than once, at MIN_REVISIT bytes or more, are stored once, as the response with the largest page_id;
 the others become revisit records that refer to it.
 
-Tasks write an archive for every ARCHIVE_BYTES of records under a name of its own and move it into place when it is whole; a
-task that is run again replaces what it wrote. The folder is reached by pyarrow's file systems (local and mounted
+Tasks write an archive for every ARCHIVE_BYTES of records under a name that no other attempt has; the names that Spark
+commits are the manifest, so that what a lost or repeated task left behind is never read. The folder is reached by pyarrow's file systems (local and mounted
 paths, s3, gs, hdfs); reading goes through Spark.
 
 Defined cases: a null html or url is empty; a null page_id is kept as such and loses ties; rows that repeat page_id and payload of a
@@ -97,8 +97,8 @@ def _folder(at: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(at)
 
 
-def write(pages: DataFrame, at: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes the archives of all pages to the folder `at`."""
+def write(pages: DataFrame, at: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the archives of all pages to the folder `at`; the manifest: name and records of each archive."""
     fs, base = _folder(at)
     fs.create_dir(base, recursive=True)
 
@@ -109,13 +109,13 @@ def write(pages: DataFrame, at: str, archive_bytes: int = ARCHIVE_BYTES) -> None
         fs, base = _folder(at)
         number, held, records = 0, 0, []
 
-        def close() -> None:
+        def close() -> pa.RecordBatch:
             nonlocal number, held, records
-            name = f"{base}/pages-{task.partitionId():05d}-{number:05d}.warc.zst"
-            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.part") as out:
+            name, n = f"pages-{task.partitionId():05d}-{number:05d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.zst", len(records)
+            with fs.open_output_stream(f"{base}/{name}") as out:
                 out.write(archive(records))
-            fs.move(f"{name}.{task.taskAttemptId()}.part", name)
             number, held, records = number + 1, 0, []
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "records"])
 
         columns = ("page_id", "url", "html", "payload_digest", "record_type", "refers_to")
         for batch in batches:
@@ -124,12 +124,13 @@ def write(pages: DataFrame, at: str, archive_bytes: int = ARCHIVE_BYTES) -> None
                 records.append(record(*row))
                 held += len(records[-1])
                 if held >= archive_bytes:
-                    close()
+                    yield close()
         if records:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], ["archives"])
+            yield close()
 
-    record_types(pages).mapInArrow(run, "archives long").agg(F.sum("archives")).collect()
+    spark = pages.sparkSession
+    record_types(pages).mapInArrow(run, "name string, records long").write.parquet(f"{at}/manifest")
+    return spark.read.schema("name string, records long").parquet(f"{at}/manifest")
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -168,6 +169,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(spark: SparkSession, at: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits) of every record of the archives in `at`.
 
+    Where the folder has a manifest, of those that it names.
+
     A response's length and digest are those of the payload read; one that differs from its header is an error.
     """
     import hashlib
@@ -199,8 +202,19 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content")
-    return files.mapInArrow(run, schema)
+    fs, base = _folder(at)
+    if fs.get_file_info(f"{base}/manifest").type != pyarrow.fs.FileType.Directory:
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(at).select("content").mapInArrow(run, schema)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _folder(at)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with fs.open_input_stream(f"{base}/{name}") as file:
+                    yield from run(iter([pa.RecordBatch.from_arrays([pa.array([file.read()], pa.binary())], ["content"])]))
+
+    named = spark.read.schema("name string").parquet(f"{at}/manifest")
+    return named.repartition(max(1, named.count())).mapInArrow(opened, schema)  # an archive a task
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
