@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespan.llm import exact_dedup, gam, near_text, packing, text_cnn
-from tilespan.llm.common import remainder, written
+from tilespan.llm.common import remainder, unused, written
 
 #: Documents of a lower quality score go.
 KEEP_QUALITY = 0.5
@@ -22,24 +22,31 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a quality score of KEEP_QUALITY or more; null and empty texts are scored, repeated rows each by itself."""
+    (name,) = unused(docs.columns, "quality_score")
     model = gam.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", remainder("doc_id", 4) != 2)
-    return gam.score(docs, model, "_quality").where(F.col("_quality") >= KEEP_QUALITY).select(*docs.columns)
+    return gam.score(docs, model, name).where(F.col(name) >= KEEP_QUALITY).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below their language's threshold; null and empty texts are scored, repeated rows each by itself."""
+    name, limit, flag = unused(docs.columns, "toxic_score", "toxic_limit", "toxic_flag")
     net = text_cnn.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1)
-    return text_cnn.score(docs, net, "_toxic").where(~F.col("flagged")).select(*docs.columns)
+    return text_cnn.score(docs, net, name, limit_name=limit, flag_name=flag).where(~F.col(flag)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (null: empty), the one with the largest doc_id; of rows that repeat doc_id and text, one."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the one with the least doc_id; texts without words are alike."""
     return near_text.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences; a null text is the empty one. No documents: no pieces."""
     return packing.packed(docs)
 
 
