@@ -78,6 +78,18 @@ def test_verified_does_not_depend_on_fingerprints():
     assert near_text.verified(np.arange(2), np.array([0, 2**64 - 1], dtype=np.uint64), sets, 0.8) == ([0], [1])
 
 
+def test_histograms_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000, 40000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 1, dtype=np.uint64))
+        sets = [np.sort(rng.choice(pool, n, replace=False)) for _ in range(4)]
+        bars = np.stack([near_text.histogram(h) for h in sets]).view(np.uint8)
+        for h, most in zip(sets, near_text.most_shared(bars[0], bars), strict=True):
+            assert most >= len(np.intersect1d(sets[0], h))
+    wide = np.arange(64 * 300, dtype=np.uint64)
+    assert np.isinf(near_text.most_shared(*(x.view(np.uint8) for x in (near_text.histogram(wide), near_text.histogram(wide)[None])))).all()
+
+
 def test_pairs_that_bands_and_fingerprints_miss(spark, monkeypatch):
     """Without any bucket of min-hashes, and with all, few or no shingles coming last."""
     rows = corpus()

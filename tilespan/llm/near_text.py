@@ -43,6 +43,8 @@ CHUNK = 1 << 19
 #: Documents (on average) in the sample for, and most, shingles that come last; any choice gives the same components.
 SAMPLE = 20_000
 COMMON = 65_536
+#: Longs that hold the histogram of a shingle set.
+CELLS = 8
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn %d" % k) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
 
 
@@ -64,6 +66,18 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each rest by 64, 255 standing for that or more, as CELLS longs."""
+    n = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64)
+    return np.minimum(n, 255).astype(np.uint8).view(np.int64)
+
+
+def most_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """At most how many hashes a set shares with each of others, by histograms as bytes; infinite where both hold 255 or more of a rest."""
+    loose = ((others == 255) & (one == 255)).any(axis=1)
+    return np.where(loose, np.inf, np.minimum(others, one).sum(axis=1, dtype=np.int64))
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A bucket key for each band of min-hashes."""
     least = np.full(len(_TURNS), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
@@ -95,11 +109,11 @@ def leading(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarr
 
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, sha (of the text), same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles)."""
+    """doc_id, sha (of the text), same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles), cells (its histogram)."""
     sent = docs.sparkSession.sparkContext.broadcast(common(docs, width))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, fp, keys, first = [], [], [], [], []
+        same, size, fp, keys, first, cells = [], [], [], [], [], []
         for text in utf8(batch, "text").to_pylist():
             h = shingles(text, width)
             same.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -107,12 +121,13 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             fp.append(fingerprint(h))
             keys.append(bands(h).view(np.int64))
             first.append(leading(h, sent.value, similarity).view(np.int64))
+            cells.append(histogram(h))
         longs = pa.list_(pa.int64())
-        columns = [batch.column("doc_id"), batch.column("sha"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "same", "size", "fp", "keys", "first"])
+        columns = [batch.column("doc_id"), batch.column("sha"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs), pa.array(cells, longs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "same", "size", "fp", "keys", "first", "cells"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return map_slices(source, each, "doc_id long, sha string, same binary, size long, fp long, keys array<long>, first array<long>", "text")
+    return map_slices(source, each, "doc_id long, sha string, same binary, size long, fp long, keys array<long>, first array<long>, cells array<long>", "text")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -210,15 +225,20 @@ def _verified_links(docs: DataFrame, members: DataFrame, width: int, similarity:
 
 
 def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: all pairs of nodes (node, root, doc_id, same, size, first) of different roots that have the similarity."""
+    """u, v: all pairs of nodes (node, root, doc_id, same, size, first, cells) of different roots that have the similarity.
+
+    Of the pairs that meet in a leading shingle, those are listed whose histograms allow the similarity; their sets are compared.
+    """
     keyed = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
     met = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     # dealt_buckets sorts by a column fp; here it is the size.
-    dealt = dealt_buckets(keyed.join(met, "key", "left_semi").select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")), BUCKET)
+    names = [f"c{k}" for k in range(CELLS)]
+    cells = nodes.select("node", *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(names)))
+    dealt = dealt_buckets(keyed.join(met, "key", "left_semi").select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")).join(cells, "node"), BUCKET)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, cell), (size, node, root, place) in whole_groups(batches, ("key", "cell"), ("fp", "node", "root", "place")):
-            group = runs((key, cell))
+        for (key, cell), (size, node, root, place, *held) in whole_groups(batches, ("key", "cell"), ("fp", "node", "root", "place", *names)):
+            group, bars = runs((key, cell)), np.stack(held, axis=1).view(np.uint8)
             ends = np.searchsorted(group, group, side="right")
             for i in range(len(node)):  # sizes rise in a group
                 later = slice(i + 1, i + 1 + int(np.searchsorted(size[i + 1 : ends[i]], size[i] / similarity + 1e-6, side="right")))
@@ -226,11 +246,13 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
                     continue
                 both = np.minimum(size[i] - place[i], size[later] - place[later])  # at most, if this is the first shingle they share
                 able = (root[later] != root[i]) & (both >= similarity * (size[i] + size[later] - both) - 1e-6)
-                found = node[later][able]
+                near = i + 1 + np.flatnonzero(able)
+                both = most_shared(bars[i], bars[near])
+                found = node[near[both >= similarity * (size[i] + size[near] - both) - 1e-6]]
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))], ["u", "v"])
 
-    able = written(dealt.select("key", "cell", "fp", "node", "root", "place").mapInArrow(pairs, "u long, v long").distinct(), "pairs")
+    able = written(dealt.select("key", "cell", "fp", "node", "root", "place", *names).mapInArrow(pairs, "u long, v long").distinct(), "pairs")
     wanted = able.select(F.col("u").alias("node")).union(able.select("v")).distinct()
     held = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "same")
 
@@ -258,10 +280,10 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
 def _rooted(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, sha, root (a node), component_id of each row of docs."""
     known = written(sketches(docs, width, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("first").alias("first")), "nodes")
+    nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("cells").alias("cells")), "nodes")
     clusters = connected(_candidates(nodes), "clusters")
     both = clusters.union(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    members = nodes.drop("keys", "first").join(both, "node")
+    members = nodes.drop("keys", "first", "cells").join(both, "node")
     near = connected(_verified_links(docs, members, width, similarity), "near")
     rooted = nodes.drop("keys").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     missed = _missed(docs, rooted, width, similarity)
