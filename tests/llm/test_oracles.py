@@ -16,7 +16,7 @@ def test_every_oracle_is_sql():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(queries.ORACLES[name])
     found = queries.QUERIES[name](spark, SF)
