@@ -1,5 +1,3 @@
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -36,34 +34,12 @@ def test_contains_and_join(spark):
     points = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 600), rng.uniform(-60, 60, 600), strict=True))]
     table = spark.createDataFrame(points, "id long, lon double, lat double")
     shapes = spark.createDataFrame([(k, rings(*p)) for k, p in SHAPES.items()], RING_TYPE)
-    got = {tuple(r) for r in polygons.points_in_polygons(table, shapes, "key", 6).collect()}
+    got = {tuple(r) for r in polygons.points_in_polygons(table, shapes, "key").collect()}
     assert got == {(k, i) for k, p in SHAPES.items() for i, x, y in points if inside((x, y), p) or inside((x + 360, y), p)}
     areas = {r.key: (r.a, r.n) for r in shapes.select("key", polygons.ring_area(F.col("rings")[0]).alias("a"), polygons.vertex_count(F.col("rings")).alias("n")).collect()}
     assert areas[1] == (1200.0, 8) and areas[3] == (1200.0, 4)
 
 
-def test_scan_touches_what_a_fine_grid_finds():
-    for k, parts in SHAPES.items():
-        for zoom in (3, 6):
-            n = 1 << zoom
-            got = {(y, x) for y, x0, x1 in polygons.scan([np.array([*p, p[0]], dtype=float) for p in parts], zoom) for x in range(x0, x1 + 1)}
-            steps = np.linspace(0, 1, 12)[1:-1]
-            sure = set()
-            for y in range(n):
-                lats = [math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + s) / n)))) for s in steps]
-                for x in range(n + n // 4):
-                    lons = [(x + s) / n * 360 - 180 for s in steps]
-                    if any(inside((lon, lat), parts) for lon in lons for lat in lats):
-                        sure.add((y, x % n))
-            assert sure <= got, (k, zoom)
-            assert len(got) <= len(sure) + 4 * n  # beyond it, only tiles that the outline touches
-
-
-def test_wrapped_spans_are_disjoint():
-    found = polygons.scan([np.array([(150, -80), (540, -80), (540, 80), (150, 80), (150, -80)], dtype=float)], 3)
-    assert all((x0, x1) == (0, 7) for _, x0, x1 in found) and len({y for y, *_ in found}) == len(found)
-
-
 def test_antimeridian_count(spark):
     whole = spark.createDataFrame([(1, 10.0, -10.0, 190.0, -170.0), (2, 40.0, -40.0, 190.0, 170.0)], "region long, north double, south double, east double, west double")
     listed = spans.cells(spans.row_spans(whole, ["region"], 0, 5)).groupBy("region", "zoom").count().collect()
