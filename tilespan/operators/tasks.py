@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +77,18 @@ def orphans(rows: DataFrame) -> DataFrame:
     return rows.where(state.isin("running", "retrying")).withColumn("recovered_status", F.when(state == "running", "paused").otherwise("pending_decision"))
 
 
-def paused(rows: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
-    """rows with running and retrying tasks paused, and the time records (task, action, ts) that go with it."""
+def paused(rows: DataFrame, records: DataFrame, at: Column, task: str = "task") -> tuple[DataFrame, DataFrame]:
+    """rows (task, status, running_seconds) with running and retrying tasks paused, and the time records (task, action, ts) that go with it.
+
+    Whole seconds since the last start or resume in records are added to running_seconds.
+    """
     active = F.col("status").isin("running", "retrying")
-    records = rows.where(active).select("task", F.lit("pause").alias("action"), at.alias("ts"))
-    return rows.withColumn("status", F.when(active, "paused").otherwise(F.col("status"))), records
+    since = records.where(F.col("action").isin("start", "resume")).groupBy(task).agg(F.max("ts").alias("_since"))
+    spent = F.coalesce(((F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp"))) / 1_000_000).cast("long"), F.lit(0).cast("long"))
+    made = rows.where(active).select(task, F.lit("pause").alias("action"), at.alias("ts"))
+    total = F.coalesce("running_seconds", F.lit(0)).cast("long")
+    held = rows.join(since, task, "left").withColumn("running_seconds", F.when(active, total + spent).otherwise(total)).drop("_since")
+    return held.withColumn("status", F.when(active, "paused").otherwise(F.col("status"))), made
 
 
 def refilled(rows: DataFrame, gaps: DataFrame, retryable: tuple[str, ...]) -> DataFrame:
@@ -103,13 +113,49 @@ def first_named(rows: DataFrame, words: Column) -> DataFrame:
     return rows.where(F.contains(F.lower("name"), F.lower(F.trim(words))))
 
 
-def throttled(events: DataFrame, key: str, seconds: float = 0.5) -> DataFrame:
-    """Of each key's events (ts), the first, the last, and of each `seconds` between the first one."""
-    w = Window.partitionBy(key).orderBy("ts")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    slot = F.floor((micros - F.min(micros).over(Window.partitionBy(key))) / int(seconds * 1_000_000))
-    marked = events.withColumn("_slot", slot)
-    return marked.withColumn("_new", F.lag("_slot").over(w).isNull() | (F.lag("_slot").over(w) != F.col("_slot")) | F.lead("_slot").over(w).isNull()).where("_new").drop("_slot", "_new")
+def throttled(events: DataFrame, key: str, ties: tuple[str, ...] = (), seconds: float = 0.5, stretch: int = 3600) -> DataFrame:
+    """Of each key's events (ts; ties: columns that order equal times) those that go out: `seconds` or more after the last one sent, and the last.
+
+    An event that long after the one before it goes out whatever came earlier, so bursts between such gaps are settled
+    apart. Gaps are found within stretches of time, with the end of the stretch before; a burst is scanned in order and
+    holds only the time last sent, so neither a key nor a burst is ever in memory whole. A null time counts as the earliest.
+    """
+    step = round(seconds * 1_000_000)
+    at, block, before, new, first, last, burst, end, held = (f"_throttle_{c}" for c in ("at", "block", "before", "new", "first", "last", "burst", "end", "held"))
+    rows = events.withColumn(at, F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62))))
+    rows = rows.withColumn(block, F.floor(F.col(at) / (stretch * 1_000_000)))
+    by_block = Window.partitionBy(key).orderBy(block)
+    ends = rows.groupBy(key, block).agg(F.max(at).alias(end))
+    ends = ends.select(F.col(key).alias(held), F.col(block).alias(f"{block}_"), F.lag(end).over(by_block).alias(before), F.lead(end).over(by_block).isNull().alias(end))
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col(held)) & (F.col(block) == F.col(f"{block}_"))).drop(held, f"{block}_")
+    w = Window.partitionBy(key, block).orderBy(at, *ties)
+    earlier = F.coalesce(F.lag(at).over(w), F.col(before))
+    rows = rows.withColumn(new, earlier.isNull() | (F.col(at) - earlier >= step)).withColumn(last, F.lead(at).over(w).isNull() & F.col(end)).drop(before, end)
+    # The burst of an event: the time of the last new one, in its stretch or an earlier one.
+    rows = rows.withColumn(burst, F.max(F.when(F.col(new), F.col(at))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = rows.groupBy(key, block).agg(F.max(burst).alias(first))
+    starts = starts.select(F.col(key).alias(held), F.col(block).alias(f"{block}_"), F.max(first).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias(first))
+    rows = rows.join(starts, F.col(key).eqNullSafe(F.col(held)) & (F.col(block) == F.col(f"{block}_"))).drop(held, f"{block}_")
+    rows = rows.withColumn(burst, F.coalesce(burst, first)).drop(first, block)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = None
+        for batch in batches:
+            times, starts = batch.column(at).to_numpy(), batch.column(new).to_numpy(zero_copy_only=False)
+            keep = batch.column(last).to_numpy(zero_copy_only=False).copy()
+            edges = [0, *np.flatnonzero(starts).tolist(), len(times)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                i = a if starts[a] else a + int(np.searchsorted(times[a:b], sent + step))
+                while i < b:
+                    keep[i], sent = True, int(times[i])
+                    i += int(np.searchsorted(times[i:b], sent + step))
+            yield batch.select(names).filter(pa.array(keep))
+
+    names = events.columns
+    dealt = rows.repartition(F.col(key), F.col(burst)).sortWithinPartitions(F.col(key), F.col(burst), F.col(at), *ties)
+    return dealt.mapInArrow(scan, events.schema)
 
 
 def knee(samples: DataFrame, key: str, ratio: float = 0.9, rise: float = 1.15) -> DataFrame:

@@ -163,23 +163,38 @@ def wizard_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_views("tasks", "obs")
-    + """, lastobs AS (SELECT task, zoom, x, y, arg_max(outcome, (ts, seq)) AS outcome FROM obs GROUP BY ALL), r AS (SELECT DISTINCT task FROM lastobs WHERE outcome IN ('retryable_failure', 'cache_failure'))
-    SELECT id AS task, CASE WHEN status IN ('running', 'retrying') THEN 'paused' ELSE status END AS paused, CASE WHEN status IN ('completed_with_gaps', 'pending_decision', 'failed') AND r.task IS NOT NULL THEN 'retrying' ELSE status END AS refilled,
-    CASE WHEN status = 'pending_decision' THEN 'completed_with_gaps' ELSE status END AS accepted, CASE WHEN status IN ('completed', 'completed_with_gaps', 'failed', 'paused', 'pending_decision') THEN status ELSE 'failed' END AS plugin FROM tasks LEFT JOIN r ON r.task = id"""
+    with_views("tasks", "obs", "times")
+    + """, lastobs AS (SELECT task, zoom, x, y, arg_max(outcome, (ts, seq)) AS outcome FROM obs GROUP BY ALL), o AS (SELECT task, max(ts) AS since FROM times WHERE action IN ('start', 'resume') GROUP BY task), r AS (SELECT DISTINCT task FROM lastobs WHERE outcome IN ('retryable_failure', 'cache_failure'))
+    SELECT id AS task, id % 1000 + CASE WHEN status IN ('running', 'retrying') THEN coalesce((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(since)) // 1000000, 0) ELSE 0 END AS paused_seconds, CASE WHEN status IN ('running', 'retrying') THEN 'paused' ELSE status END AS paused, CASE WHEN status IN ('completed_with_gaps', 'pending_decision', 'failed') AND r.task IS NOT NULL THEN 'retrying' ELSE status END AS refilled,
+    CASE WHEN status = 'pending_decision' THEN 'completed_with_gaps' ELSE status END AS accepted, CASE WHEN status IN ('completed', 'completed_with_gaps', 'failed', 'paused', 'pending_decision') THEN status ELSE 'failed' END AS plugin FROM tasks LEFT JOIN r ON r.task = id LEFT JOIN o ON o.task = id"""
 )
 def task_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.tasks(spark, sf_dir).select(F.col("id").alias("task"), "status")
+    state = F.col("status")
+    rows = v.tasks(spark, sf_dir).select(F.col("id").alias("task"), "status", (F.col("id") % 1000).alias("running_seconds"), tasks.accepted(state).alias("accepted"), tasks.plugin_state(state).alias("plugin"), state.alias("given"))
     gaps = _ledger(spark, sf_dir).where(ledger.is_gap(F.col("outcome")))
-    paused, _ = tasks.paused(rows, F.lit("2024-01-01").cast("timestamp"))
-    again = tasks.refilled(rows, gaps, ledger.RETRYABLE_OUTCOMES).select("task", F.col("status").alias("refilled"))
-    out = rows.join(paused.select("task", F.col("status").alias("paused")), "task").join(again, "task")
-    return out.select("task", "paused", "refilled", tasks.accepted(F.col("status")).alias("accepted"), tasks.plugin_state(F.col("status")).alias("plugin"))
+    held, _ = tasks.paused(rows, v.time_records(spark, sf_dir), F.lit("2024-03-01").cast("timestamp"))
+    again = tasks.refilled(held.withColumnsRenamed({"status": "paused", "given": "status"}), gaps, ledger.RETRYABLE_OUTCOMES)
+    return again.select("task", "paused", F.col("running_seconds").alias("paused_seconds"), F.col("status").alias("refilled"), "accepted", "plugin")
 
 
-@query("SELECT DISTINCT event_id, user_id, ts FROM (SELECT *, first_ts + (epoch_us(ts) - epoch_us(first_ts)) // 500000 * INTERVAL 500 MILLISECONDS AS slot, lead(ts) OVER w AS nxt, lag((epoch_us(ts) - epoch_us(first_ts)) // 500000) OVER w AS before, (epoch_us(ts) - epoch_us(first_ts)) // 500000 AS s FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE before IS NULL OR before <> s OR nxt IS NULL")
+@query(with_views("tasks") + "SELECT id AS task, 'pause' AS action, TIMESTAMP '2024-03-01' AS ts FROM tasks WHERE status IN ('running', 'retrying')")
+def pause_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.tasks(spark, sf_dir).select(F.col("id").alias("task"), "status", F.lit(0).alias("running_seconds"))
+    return tasks.paused(rows, v.time_records(spark, sf_dir), F.lit("2024-03-01").cast("timestamp_ntz"))[1]
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT event_id, user_id, epoch_us(ts) // 100000 AS t FROM events), u AS (SELECT user_id, t, min(event_id) AS event_id FROM p GROUP BY ALL),
+    n AS (SELECT user_id, t, min(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 500000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_t FROM u),
+    go AS (SELECT user_id, min(t) AS t FROM u GROUP BY user_id UNION ALL SELECT n.user_id, n.next_t FROM go JOIN n USING (user_id, t) WHERE n.next_t IS NOT NULL),
+    sent AS (SELECT event_id FROM u JOIN go USING (user_id, t) UNION SELECT arg_max(event_id, (t, event_id)) FROM p GROUP BY user_id)
+    SELECT event_id, user_id, t AS "at" FROM p JOIN sent USING (event_id)"""
+)
 def throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.throttled(v.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id")
+    """Events told in a hundred-thousandth of their time, so that many lie closer than half a second."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000)
+    rows = v.table(spark, sf_dir, "events").select("event_id", "user_id", F.timestamp_micros(at).alias("ts"))
+    return tasks.throttled(rows, "user_id", ("event_id",)).select("event_id", "user_id", F.unix_micros("ts").alias("at"))
 
 
 @query(

@@ -284,12 +284,16 @@ def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "nation").select(k.alias("source"), text.fingerprint(record).alias("fingerprint"))
 
 
-def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shaped(boxes: DataFrame) -> DataFrame:
     """A five-cornered polygon with a square hole in each region's box."""
     at = lambda fx, fy: F.struct((F.col("west") + (F.col("east") - F.col("west")) * fx).alias("lon"), (F.col("south") + (F.col("north") - F.col("south")) * fy).alias("lat"))
     outer = F.array(*(at(*p) for p in ((0.0, 0.0), (1.0, 0.0), (1.0, 0.75), (0.5, 1.0), (0.0, 0.5), (0.0, 0.0))))
     hole = F.array(*(at(*p) for p in ((0.25, 0.25), (0.25, 0.5), (0.5, 0.5), (0.5, 0.25), (0.25, 0.25))))
-    return v.regions(spark, sf_dir).select("region", F.array(outer, hole).alias("rings"))
+    return boxes.select("*", F.array(outer, hole).alias("rings"))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(v.regions(spark, sf_dir))
 
 
 
@@ -314,11 +318,6 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shapes(spark, sf_dir).select("region", area(0).alias("outer_area"), area(1).alias("hole_area"), polygons.vertex_count(F.col("rings")).alias("vertices"))
 
 
-@query()
-def polygon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.polygon_spans(_shapes(spark, sf_dir), "region", 0, 12)
-
-
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """65 x 65 heights of each embedding, at level 10."""
     v0 = F.transform("embedding", lambda e: e.cast("double") * 1000)

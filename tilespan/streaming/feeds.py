@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilespan.operators import ledger
 from tilespan.schemas import GAP_OUTCOMES
@@ -22,6 +27,28 @@ def rates(samples: DataFrame, span: str = "3 seconds", slide: str = "1 second",
     return held.select("task", F.col("window.end").alias("at"), (F.col("bytes") / seconds).alias("rate"))
 
 
+def throttled(events: DataFrame, key: str, final: Column, seconds: float = 0.5) -> DataFrame:
+    """Of a feed of events (ts), those that go out: `seconds` or more after the last one that was sent of their key, and final ones.
+
+    The state of a key is the time last sent. Events of one micro-batch are taken in the order of their times; one that
+    comes later than a younger one was sent stays in unless it is final.
+    """
+    step, columns, schema = round(seconds * 1_000_000), events.columns, events.schema
+
+    def scan(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(frames).sort_values(["_at", "_final"], kind="stable")
+        sent, keep = state.get[0] if state.exists else None, []
+        for at, last in zip(rows["_at"], rows["_final"], strict=True):
+            out = bool(last) or sent is None or at - sent >= step
+            keep.append(out)
+            sent = max(at, sent if sent is not None else at) if out else sent
+        state.update((int(sent),))
+        yield rows[np.array(keep)][columns]
+
+    timed = events.withColumns({"_at": F.unix_micros(F.col("ts").cast("timestamp")), "_final": F.coalesce(final, F.lit(False))}).where("_at is not null")
+    return timed.groupBy(key).applyInPandasWithState(scan, schema, "sent long", "append", GroupStateTimeout.NoTimeout)
+
+
 def keep_ledger(observations: DataFrame, folder: str, checkpoint: str):
     """A running query that merges each micro-batch into the ledger's newest version under `folder`.
 
