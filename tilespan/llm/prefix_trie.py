@@ -37,6 +37,8 @@ from tilespan.llm.common import written
 
 #: Characters of one piece of a list of ids.
 PIECE = 1 << 16
+#: Probes that may be broadcast, in rows of five numbers; more are shuffled.
+FEW = 20_000
 _ROW, _HEAD, _TAIL = 0, 1, 2
 
 
@@ -115,20 +117,21 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, pos, points, cum (code points so far) and the running digest k0, k1 of each turn of turns (conv_id, pos, turn_hash, points)."""
     keyed = turns.withColumn("k0", F.xxhash64(F.lit(1), "pos", "turn_hash")).withColumn("k1", F.xxhash64(F.lit(2), "turn_hash", "pos")).withColumn("cum", F.col("points"))
-    return running(keyed, "conv_id", [F.col("pos")], ["pos", "points"], ["k0", "k1", "cum"], "prefixes", ("k0", "k1"))
+    return written(running(keyed, "conv_id", [F.col("pos")], ["pos", "points"], ["k0", "k1", "cum"], "prefixes", ("k0", "k1")), "prefixes")
 
 
 def chains(convs: DataFrame, found: DataFrame, minima: DataFrame) -> DataFrame:
     """conv_id, size (turns), total (code points), first (owned depth; beyond size: none), parent (owner of the node above it), above (code points to there), owning."""
     sizes = found.groupBy("conv_id").agg(F.max("pos").alias("size"), F.max("cum").alias("total"))
     state = convs.join(sizes, "conv_id", "left").select("conv_id", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("total", F.lit(0)).alias("total"))
-    root, longest = state.agg(F.min("conv_id"), F.max("size")).first()
+    root = state.agg(F.min("conv_id")).first()[0]
     long = lambda v: F.lit(v).cast("long")
     state = written(state.select("*", long(1).alias("low"), (F.col("size") + 1).alias("high"), long(root).alias("parent"), long(0).alias("above")), "search")
     probe = found.select("conv_id", F.col("pos").alias("mid"), "k0", "k1", "cum")
     least = minima.select(F.col("pos").alias("mid"), "k0", "k1", "owner")
-    for _ in range(int(longest or 0).bit_length()):
+    while left := state.where("low < high").count():
         asked = state.where("low < high").withColumn("mid", F.floor((F.col("low") + F.col("high")) / 2))
+        asked = F.broadcast(asked) if left <= FEW else asked  # the last rounds ask for long conversations alone
         got = asked.join(probe, ["conv_id", "mid"]).join(least, ["mid", "k0", "k1"])
         owns = F.col("owner") == F.col("conv_id")
         step = lambda yes, no, name: F.when(owns, yes).otherwise(no).alias(name)
