@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tilespan.schemas import EARTH_RADIUS, ECCENTRICITY_2
 
+#: Tiles that are encoded together.
+_AT_ONCE = 64
+
 
 def mesh_errors(heights: np.ndarray, pin_border: bool = True) -> np.ndarray:
     """For each vertex of a (2^k + 1) square grid, the largest height error of leaving it and all below it out.
@@ -192,6 +195,47 @@ def encode(bounds: tuple[float, float, float, float], heights: np.ndarray, verti
     return out
 
 
+@lru_cache(maxsize=8)
+def _fixed(n: int) -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
+    """Rows and columns of the vertices in file order, and the bytes before and after the heights."""
+    vertices, triangles = grid_mesh(n)
+    flat = encode((0.0, 0.0, 1.0, 1.0), np.zeros((n, n)), vertices, triangles)
+    at = 92 + 2 * 2 * n * n
+    return vertices[:, 0], vertices[:, 1], flat[88:at], flat[at + 2 * n * n :]
+
+
+def encode_grids(bounds: np.ndarray, heights: np.ndarray) -> list[bytes]:
+    """encode() of many full grids: bounds (tiles, 4: west, south, east, north), heights (tiles, n, n) with the north first."""
+    n = heights.shape[1]
+    rows, cols, before, after = _fixed(n)
+    west, south, east, north = (bounds[:, i, None] for i in range(4))
+    share = np.arange(n) / (n - 1)
+    lon, lat = np.radians(west + share * (east - west)), np.radians(south + (1 - share) * (north - south))
+    h = heights.astype(np.float64)
+    radius = EARTH_RADIUS / np.sqrt(1 - ECCENTRICITY_2 * np.sin(lat) ** 2)
+    count = len(h)
+    level = ((radius[:, :, None] + h) * np.cos(lat)[:, :, None]).reshape(count, n, n)
+    at = [(level * np.cos(lon)[:, None, :]).reshape(count, -1), (level * np.sin(lon)[:, None, :]).reshape(count, -1), ((radius * (1 - ECCENTRICITY_2) * np.sin(lat))[:, :, None] + h * np.sin(lat)[:, :, None]).reshape(count, -1)]
+    centre = np.stack([(v.min(axis=1) + v.max(axis=1)) / 2 for v in at], axis=1)
+    reach = np.sqrt(sum((v - centre[:, i, None]) ** 2 for i, v in enumerate(at)).max(axis=1))
+    axes = (EARTH_RADIUS, EARTH_RADIUS, EARTH_RADIUS * math.sqrt(1 - ECCENTRICITY_2))
+    way = centre / axes
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    square = sum((v / r) ** 2 for v, r in zip(at, axes, strict=True))
+    along = sum(v * (way[:, i, None] / r) for i, (v, r) in enumerate(zip(at, axes, strict=True)))
+    cos_a = np.clip(along / np.sqrt(square), -1, 1)
+    square = np.maximum(1.0, square)
+    # cos a cos b - sin a sin b, with cos b = 1 / size.
+    seen = (cos_a - np.sqrt((1 - cos_a * cos_a) * (square - 1))) / np.sqrt(square)
+    horizon = way / np.maximum(1e-9, seen.min(axis=1))[:, None]
+    low, high = h.min(axis=(1, 2)), h.max(axis=(1, 2))
+    spread = np.where(high > low, high - low, 1.0)
+    q = np.floor((h[:, rows, cols] - low[:, None]) / spread[:, None] * 32767 + 0.5).astype(np.int32)
+    d = np.diff(q, axis=1, prepend=0)
+    coded = ((d << 1) ^ (d >> 31)).astype("<u2")
+    return [struct.pack("<dddffddddddd", *centre[t], low[t], high[t], *centre[t], reach[t], *horizon[t]) + before + coded[t].tobytes() + after for t in range(len(h))]
+
+
 def decode(data: bytes) -> dict:
     """The header, vertices (u, v and height fractions of 32767), triangles and edges of a tile."""
     head = struct.unpack_from("<dddffddddddd", data)
@@ -206,10 +250,7 @@ def decode(data: bytes) -> dict:
     count = struct.unpack_from("<I", data, at)[0]
     codes = np.frombuffer(data, wide, 3 * count, at + 4).astype(np.int64)
     at += 4 + 3 * count * int(wide[-1])
-    high, indices = 0, np.empty(3 * count, dtype=np.int64)
-    for i, c in enumerate(codes.tolist()):
-        indices[i] = high - c
-        high += c == 0
+    indices = np.cumsum(codes == 0) - (codes == 0) - codes  # from the next unused number back
     edges = []
     for _ in range(4):
         k = struct.unpack_from("<I", data, at)[0]
@@ -235,15 +276,18 @@ def encode_tiles(blocks: DataFrame, max_error: float | None = None, normals: boo
         for batch in batches:
             made: list[tuple] = []
             levels, xs, ys = (batch.column(c).to_pylist() for c in ("level", "x", "y"))
-            for level, x, y, cells in zip(levels, xs, ys, batch.column("heights"), strict=True):
-                flat = np.nan_to_num(cells.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                n = math.isqrt(len(flat))
-                heights, k = flat.reshape(n, n), n - 1
-                step = 180.0 / (1 << level)
-                bounds = (-180 + x * step, -90 + y * step, -180 + (x + 1) * step, -90 + (y + 1) * step)
-                vertices, triangles = mesh(mesh_errors(heights), max_error) if max_error is not None and k > 1 and not k & (k - 1) else grid_mesh(n)
-                data = encode(bounds, heights, vertices, triangles, vertex_normals(bounds, heights) if normals else None)
-                made.append((gzip.compress(data, 6, mtime=0), float(heights.min()), float(heights.max()), len(vertices), len(triangles)))
+            every = batch.column("heights")
+            for start in range(0, batch.num_rows, _AT_ONCE):
+                grids = [np.nan_to_num(cells.values.to_numpy(zero_copy_only=False).astype(np.float64)).reshape(math.isqrt(len(cells)), -1) for cells in every[start : start + _AT_ONCE]]
+                steps = [180.0 / (1 << z) for z in levels[start : start + _AT_ONCE]]
+                bounds = np.array([(-180 + x * t, -90 + y * t, -180 + (x + 1) * t, -90 + (y + 1) * t) for x, y, t in zip(xs[start:], ys[start:], steps, strict=False)])
+                same = max_error is None and not normals and len({len(g) for g in grids}) == 1
+                plain = encode_grids(bounds, np.stack(grids)) if same else [None] * len(grids)
+                for box, heights, data in zip(bounds, grids, plain, strict=True):
+                    n, k = len(heights), len(heights) - 1
+                    vertices, triangles = mesh(mesh_errors(heights), max_error) if max_error is not None and k > 1 and not k & (k - 1) else grid_mesh(n)
+                    data = data or encode(tuple(box), heights, vertices, triangles, vertex_normals(tuple(box), heights) if normals else None)
+                    made.append((gzip.compress(data, 6, mtime=0), float(heights.min()), float(heights.max()), len(vertices), len(triangles)))
             columns = list(zip(*made, strict=True)) if made else [[]] * 5
             kinds = [pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             arrays = [pa.array(levels, pa.int32()), pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]

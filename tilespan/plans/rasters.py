@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespan.operators import blocks, contours
+from tilespan.operators import blocks, contours, pyramid
 from tilespan.plans import views as v
 from tilespan.plans.catalogue import query
 
@@ -126,3 +126,50 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points, open lines and length (pixels) of each level's contours, joined over the blocks of a raster."""
     found = contours.lines(_pieces(spark, sf_dir))
     return found.groupBy("raster", "level").agg(F.sum("points").alias("points"), F.count_if(~F.col("closed")).alias("open_lines"), F.round(F.sum("length"), 4).alias("length"))
+
+
+def placed(given: DataFrame) -> DataFrame:
+    """Where the rasters of blocks lie: 0.01 degrees a pixel, 80 x 80."""
+    r = F.col("raster")
+    return given.select("raster").distinct().select("raster", (10.0031 + r % 30 * 1.37).alias("west"), (47.0213 - r % 20 * 0.83).alias("north"), F.lit(0.01).alias("pixel"), F.lit(80).alias("rows"), F.lit(80).alias("cols"))
+
+
+def _sql_vertices(n: int, low: int, high: int) -> str:
+    """Common tables down to vertex (raster, z, x, y, i, j, h): the heights of each tile's vertices, i from the north."""
+    m = n - 1
+    return f"""{_BIG}, facts AS (SELECT DISTINCT raster, 10.0031::DOUBLE + raster % 30 * 1.37::DOUBLE AS west, 47.0213::DOUBLE - raster % 20 * 0.83::DOUBLE AS north FROM big),
+    lev AS (SELECT *, 180::DOUBLE / (1 << z) AS step FROM facts, (SELECT unnest(range({low}, {high + 1})) AS z)),
+    k AS (SELECT *, CAST(greatest(0, floor(log2(step / {m} / 0.01::DOUBLE))) AS INT) AS k FROM lev),
+    px AS (SELECT k.k, big.raster, row // (1 << k.k) AS r, col // (1 << k.k) AS c, avg(elev) AS e FROM big, (SELECT DISTINCT k FROM k) k GROUP BY ALL),
+    tile AS (SELECT *, unnest(range(CAST(floor((west + 180) / step) AS BIGINT), CAST(ceil((west + 0.8::DOUBLE + 180) / step) AS BIGINT))) AS x FROM k),
+    tiles AS (SELECT *, unnest(range(CAST(floor((north - 0.8::DOUBLE + 90) / step) AS BIGINT), CAST(ceil((north + 90) / step) AS BIGINT))) AS y FROM tile),
+    spot AS (SELECT raster, z, k, x, y, i, j, (north - (-90 + y * step + ({m} - i) * (step / {m}))) / 0.01::DOUBLE / (1 << k) - 0.5::DOUBLE AS pr, ((-180 + x * step + j * (step / {m})) - west) / 0.01::DOUBLE / (1 << k) - 0.5::DOUBLE AS pc
+      FROM tiles, (SELECT unnest(range(0, {n})) AS i) a, (SELECT unnest(range(0, {n})) AS j) b),
+    cellof AS (SELECT *, CAST(greatest(0, least(floor(pr), 80 // (1 << k) - 2)) AS BIGINT) AS r, CAST(greatest(0, least(floor(pc), 80 // (1 << k) - 2)) AS BIGINT) AS c FROM spot),
+    vertex AS (SELECT s.raster, z, x, y, i, j, greatest(0, least(1, pr - s.r)) AS fy, greatest(0, least(1, pc - s.c)) AS fx,
+      coalesce((a.e * (1 - greatest(0, least(1, pc - s.c))) + b.e * greatest(0, least(1, pc - s.c))) * (1 - greatest(0, least(1, pr - s.r))) + (d.e * (1 - greatest(0, least(1, pc - s.c))) + f.e * greatest(0, least(1, pc - s.c))) * greatest(0, least(1, pr - s.r)), 0) AS h
+      FROM cellof s LEFT JOIN px a ON a.k = s.k AND a.raster = s.raster AND a.r = s.r AND a.c = s.c LEFT JOIN px b ON b.k = s.k AND b.raster = s.raster AND b.r = s.r AND b.c = s.c + 1
+      LEFT JOIN px d ON d.k = s.k AND d.raster = s.raster AND d.r = s.r + 1 AND d.c = s.c LEFT JOIN px f ON f.k = s.k AND f.raster = s.raster AND f.r = s.r + 1 AND f.c = s.c + 1)"""
+
+
+@query(
+    f"""WITH {_sql_vertices(17, 8, 10)} SELECT raster, CAST(z AS INT) AS level, x, y, CAST(i AS INT) AS row, CAST(j AS INT) AS col,
+    CAST(floor((h - min(h) OVER w) / CASE WHEN max(h) OVER w > min(h) OVER w THEN max(h) OVER w - min(h) OVER w ELSE 1 END * 32767 + 0.5::DOUBLE) AS INT) AS q FROM vertex WINDOW w AS (PARTITION BY raster, z, x, y)"""
+)
+def terrain_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heights, as fractions of 32767, that the tiles of three levels hold when they are read again; two levels sample overviews."""
+    given = blocks_of(spark, sf_dir)
+    found = pyramid.decoded(pyramid.pyramid(given, placed(given), SIDE, 8, 10, 17), 17)
+    return found.select("raster", "level", "x", "y", F.posexplode("q").alias("at", "q")).select("raster", "level", "x", "y", F.floor(F.col("at") / 17).cast("int").alias("row"), (F.col("at") % 17).cast("int").alias("col"), "q")
+
+
+@query(
+    f"""WITH {_sql_vertices(65, 9, 11)}, t AS (SELECT raster, z, x, y, min(h) AS low, max(h) AS high FROM vertex GROUP BY ALL)
+    SELECT raster, CAST(z AS INT) AS level, count(*) AS tiles, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, round(sum(low), 6) AS low, round(sum(high), 6) AS high, CAST(count(*) * 4225 AS BIGINT) AS vertices, CAST(count(*) * 8192 AS BIGINT) AS triangles FROM t GROUP BY raster, z"""
+)
+def terrain_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pyramids of 65 x 65 tiles hold by level."""
+    given = blocks_of(spark, sf_dir)
+    found = pyramid.pyramid(given, placed(given), SIDE, 9, 11)
+    ends = [f("x" if n[0] == "x" else "y").alias(n) for n, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))]
+    return found.groupBy("raster", "level").agg(F.count("*").alias("tiles"), *ends, *(F.round(F.sum(c), 6).alias(c) for c in ("low", "high")), F.sum("vertices").alias("vertices"), F.sum("triangles").alias("triangles"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -319,19 +323,35 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """65 x 65 heights of each embedding, at level 10."""
-    v0 = F.transform("embedding", lambda e: e.cast("double") * 1000)
-    rows = v.table(spark, sf_dir, "embeddings").withColumn("v", v0)
-    heights = F.transform(F.sequence(F.lit(0), F.lit(65 * 65 - 1)), lambda i: F.get("v", i % F.size("v")))
-    return rows.select(F.lit(10).alias("level"), (F.col("vec_id") % 2048).alias("x"), (F.floor(F.col("vec_id") / 2048) % 1024).alias("y"), heights.alias("heights"))
+    """65 x 65 heights of each embedding, at level 10; vectors are dealt over the tasks first, being much smaller."""
+    rows = v.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double") * 1000).alias("v"))
+    dealt = rows.repartition(2 * spark.sparkContext.defaultParallelism, "vec_id")
+    heights = F.slice(F.flatten(F.array_repeat("v", F.ceil(F.lit(65 * 65) / F.size("v")).cast("int"))), 1, 65 * 65)
+    return dealt.select(F.lit(10).alias("level"), (F.col("vec_id") % 2048).alias("x"), (F.floor(F.col("vec_id") / 2048) % 1024).alias("y"), heights.alias("heights"))
 
 
 @query(
-    """SELECT CAST(10 AS INT) AS level, vec_id % 2048 AS x, (vec_id // 2048) % 1024 AS y, list_min(embedding)::DOUBLE * 1000 AS low, list_max(embedding)::DOUBLE * 1000 AS high,
-    CAST(4225 AS BIGINT) AS vertices, CAST(8192 AS BIGINT) AS triangles FROM embeddings"""
+    """WITH h AS (SELECT vec_id, unnest(range(0, 4225)) AS i, embedding AS e FROM embeddings), g AS (SELECT vec_id, i, e[i % len(e) + 1]::DOUBLE * 1000 AS h FROM h),
+    q AS (SELECT *, floor((h - min(h) OVER w) / (max(h) OVER w - min(h) OVER w) * 32767 + 0.5::DOUBLE) AS q FROM g WINDOW w AS (PARTITION BY vec_id))
+    SELECT CAST(10 AS INT) AS level, vec_id % 2048 AS x, (vec_id // 2048) % 1024 AS y, min(h) AS low, max(h) AS high, CAST(4225 AS BIGINT) AS vertices, CAST(8192 AS BIGINT) AS triangles,
+    CAST(sum(q * (i % 97 + 1)) AS BIGINT) AS places, CAST(8192 * 3 * 2112 AS BIGINT) AS corners, CAST(4 * 65 AS BIGINT) AS edges FROM q GROUP BY vec_id"""
 )
 def terrain_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.encode_tiles(_blocks(spark, sf_dir)).drop("tile")
+    """Tiles as they are read again: heights weighed by their places, triangle corners by their vertices, and the four edges."""
+    tiles = terrain.encode_tiles(_blocks(spark, sf_dir))
+
+    def read(batches):
+        weight = np.arange(65 * 65) % 97 + 1
+        for batch in batches:
+            sums = []
+            for data in batch.column("tile").to_pylist():
+                out = terrain.decode(gzip.decompress(data))
+                at = np.round((1 - out["v"] / 32767) * 64).astype(int) * 65 + np.round(out["u"] / 32767 * 64).astype(int)
+                sums.append((int((out["h"] * weight[at]).sum()), int(at[out["triangles"]].sum()), sum(len(e) for e in out["edges"])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([s[i] for s in sums], pa.int64()) for i in range(3))], [*kept, "places", "corners", "edges"])
+
+    kept = [c for c in tiles.columns if c != "tile"]
+    return tiles.mapInArrow(read, "level int, x long, y long, low double, high double, vertices long, triangles long, places long, corners long, edges long")
 
 
 @query(

@@ -15,3 +15,4 @@ MAX_ZOOM = 21
 WEB_MERCATOR_MAX_LAT = 85.0511
 EARTH_RADIUS = 6378137.0
 ECCENTRICITY_2 = 6.69437999014e-3
+METRES_PER_DEGREE = 111320.0
