@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilespan.functions import addresses
 from tilespan.schemas import MAX_ZOOM
 
 #: Short forms of styles and output formats, and hosts that are this machine.
@@ -12,15 +13,6 @@ STYLES = {"r": "roadmap", "s": "satellite", "h": "hybrid", "t": "terrain", "m":
 FORMATS = {"p": "png", "j": "jpg", "b": "both", "t": "tiles_only", "i": "image_only"}
 LOCAL_NAMES = ("localhost", "localhost.localdomain")
 DEFAULT_SERVERS = "mts0,mts1,mts2,mts3"
-#: IPv4 blocks by kind: first address and bits of the prefix.
-BLOCKS = {
-    "link_local": (("169.254.0.0", 16),),
-    "multicast": (("224.0.0.0", 4),),
-    "unspecified": (("0.0.0.0", 32),),
-    "loopback": (("127.0.0.0", 8),),
-    "private": (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("0.0.0.0", 8), ("192.0.0.0", 29), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24)),
-    "reserved": (("240.0.0.0", 4),),
-}
 
 
 def _number(value: Column) -> Column:
@@ -115,58 +107,40 @@ def first_text(*values: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(v) != "", F.trim(v)) for v in values))
 
 
-def address(host: Column) -> Column:
-    """An IPv4 literal as a number, null for other hosts."""
-    parts = F.split(host, r"\.")
-    octets = F.transform(parts, lambda p: F.when(p.rlike("^(0|[1-9][0-9]{0,2})$") & (p.try_cast("int") <= 255), p.cast("long")))
-    return F.when((F.size(parts) == 4) & F.forall(octets, lambda o: o.isNotNull()), F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o))
-
-
-def _first_of(block: str) -> int:
-    out = 0
-    for part in block.split("."):
-        out = out * 256 + int(part)
-    return out
-
-
-def address_kind(ip: Column) -> Column:
-    """Of an IPv4 number: link_local, multicast, unspecified, loopback, private, reserved, or public; the first that holds."""
-    out = None
-    for kind, blocks in BLOCKS.items():
-        inside = F.lit(False)
-        for first, bits in blocks:
-            inside = inside | ip.between(_first_of(first), _first_of(first) + (1 << (32 - bits)) - 1)
-        out = F.when(inside, kind) if out is None else out.when(inside, kind)
-    return F.when(ip.isNotNull(), out.otherwise("public"))
-
-
-def blocked(kind: Column, allow_private: bool = False) -> Column:
-    """Whether an address of a kind must not be fetched; some never, private ones unless allowed."""
-    return kind.isin("link_local", "multicast", "unspecified", *(() if allow_private else ("loopback", "private", "reserved")))
-
-
 def bypasses_proxy(host: Column) -> Column:
     """Whether a host is this machine or on a private network."""
-    return F.coalesce(F.lower(host).isin(*LOCAL_NAMES) | address_kind(address(host)).isin("loopback", "private", "link_local", "unspecified", "reserved"), F.lit(False))
+    return F.coalesce(F.lower(host).isin(*LOCAL_NAMES), F.lit(False)) | addresses.is_local(host)
 
 
-def url_error(url: Column) -> Column:
-    """Why a URL must not be fetched, as far as its text tells; null: its host's addresses are to be asked."""
+def url_error(url: Column, allow_private: bool = False) -> Column:
+    """Why a URL must not be fetched, as far as its text tells; null: its host's addresses are to be asked.
+
+    Literal hosts are judged here, IPv6 ones by the IPv4 addresses they hold; allow_private lets local networks through.
+    """
     raw = F.trim(url)
     scheme = F.lower(F.regexp_extract(raw, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     place = F.regexp_extract(raw, "^[^:/?#]+://([^/?#]*)", 1)
     at = F.regexp_replace(place, "^.*@", "")
-    host, port = F.lower(F.regexp_replace(at, ":[^:]*$", "")), F.regexp_extract(at, ":([^:]*)$", 1)
+    boxed = at.startswith("[")
+    host = F.lower(F.when(boxed, F.regexp_extract(at, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(at, ":.*$", "")))
+    port = F.when(boxed, F.regexp_extract(at, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(at, "^[^:]*:(.*)$", 1))
+    whole = ~boxed & ~F.contains(at, F.lit("[")) & ~F.contains(at, F.lit("]")) | boxed & at.rlike(r"^\[[^\[\]]*\](:[^\[\]]*)?$") & addresses.ipv6(host).isNotNull()
     return (
         F.when(raw.isNull() | (raw == ""), "empty")
+        .when(~whole, "no_url")
         .when(~scheme.isin("http", "https"), "scheme")
+        .when((port != "") & ~F.coalesce(port.rlike("^[0-9]+$") & port.try_cast("int").between(0, 65535), F.lit(False)), "port")
         .when(host == "", "no_host")
         .when(F.contains(place, F.lit("@")), "user_info")
-        .when((port != "") & ~F.coalesce(port.try_cast("int").between(0, 65535), F.lit(False)), "port")
-        .when(F.coalesce(blocked(address_kind(address(host))), F.lit(False)), "blocked_address")
+        .when(addresses.blocked_kind(host, allow_private).isNotNull(), "blocked_address")
     )
 
 
+def fetched(url: Column) -> Column:
+    """A URL as it is sent: without spaces around and without its fragment."""
+    return F.regexp_replace(F.trim(url), "#.*$", "")
+
+
 def server_error(entry: Column) -> Column:
     """Why an entry is no tile server: a host name, or a URL template with z, x and y and no other placeholders but s and credential."""
     e = F.trim(F.coalesce(entry, F.lit("")))
@@ -194,6 +168,6 @@ def server_template(entry: Column, style: Column) -> Column:
     return F.when(F.contains(entry, F.lit("://")), entry).otherwise(F.concat(F.lit("https://"), host, F.lit("/vt?lyrs="), style, F.lit("&x={x}&y={y}&z={z}")))
 
 
-def shown(key: Column, value: Column, secret_keys: tuple[str, ...], mark: str = "__TF_UNCHANGED__") -> Column:
+def shown(key: Column, value: Column, secret_keys: tuple[str, ...], mark: str) -> Column:
     """A configuration value as it may be shown: a mark in place of secrets that are set."""
     return F.when(key.isin(*secret_keys) & (value != ""), mark).otherwise(value)

@@ -24,7 +24,7 @@ def with_defaults(entries: DataFrame, defaults: DataFrame) -> DataFrame:
     return entries.select("key", "value").unionByName(defaults.select("key", "value").join(entries, "key", "left_anti"))
 
 
-def upsert(entries: DataFrame, changes: DataFrame, unchanged: str = "__TF_UNCHANGED__") -> DataFrame:
+def upsert(entries: DataFrame, changes: DataFrame, unchanged: str) -> DataFrame:
     """entries (key, value) after changes, with whether each was changed; a value that is the mark for "as it was" changes nothing."""
     new = changes.where((F.col("value") != unchanged) | F.col("value").isNull()).select("key", F.col("value").alias("new"), F.lit(True).alias("changed"))
     both = entries.select("key", "value").join(new, "key", "full_outer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespan.functions import grid, rules
+from tilespan.functions import addresses, grid, rules
 from tilespan.operators import config, headers, ledger, tasks, wizard
 from tilespan.plans import views as v
 from tilespan.plans.catalogue import _ledger, query
@@ -136,8 +136,46 @@ def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.concat_ws(".", *(o.cast("string") for o in octets))
     url = F.when(k % 6 == 0, F.concat(F.lit("ftp://"), host)).when(k % 6 == 1, F.concat(F.lit("http://tiles.example.com@"), host, F.lit("/a"))).when(k % 6 == 2, F.concat(F.lit("http://"), host, F.lit(":99999/"))).when(k % 6 == 3, F.lit("https:///x")).when(k % 6 == 4, F.concat(F.lit(" HTTP://"), host, F.lit(":80/p?q#f "))).otherwise(F.lit("https://tiles.example.com/"))
     entry = F.when(k % 6 == 0, "https://h/{z}/{x}").when(k % 6 == 1, "http://h/{z}/{x}/{y}?k={q}").when(k % 6 == 2, "https://{s}.h/{z}/{x}/{y}").when(k % 6 == 3, "ftp://h").when(k % 6 == 4, "no host").otherwise("  ")
-    kind = rules.address_kind(rules.address(host))
-    return v.table(spark, sf_dir, "part").select(k.alias("id"), kind.alias("kind"), rules.blocked(kind).alias("blocked"), rules.blocked(kind, True).alias("always"), rules.url_error(url).alias("url_error"), rules.server_error(entry).alias("server_error"))
+    kind = addresses.kind4(addresses.ipv4(host))
+    return v.table(spark, sf_dir, "part").select(k.alias("id"), kind.alias("kind"), addresses.blocked(kind).alias("blocked"), addresses.blocked(kind, True).alias("always"), rules.url_error(url).alias("url_error"), rules.server_error(entry).alias("server_error"))
+
+
+_V4 = """CASE WHEN a = 169 AND b = 254 THEN 'link_local' WHEN a BETWEEN 224 AND 239 THEN 'multicast' WHEN a + b + c + d = 0 THEN 'unspecified' WHEN a = 127 THEN 'loopback'
+      WHEN a IN (0, 10) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 0 AND d NOT IN (9, 10)) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) THEN 'private' WHEN a >= 240 THEN 'reserved' ELSE 'public' END"""
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, 'x' || md5(coalesce(html, '')) AS m FROM pages), o AS (SELECT page_id, page_id % 10 AS k, ('0x' || substr(m, 2, 2))::INT AS r, ('0x' || substr(m, 4, 2))::INT AS b0, ('0x' || substr(m, 6, 2))::INT AS c, ('0x' || substr(m, 8, 2))::INT AS d FROM h),
+    p AS (SELECT page_id, k, CASE WHEN r < 128 THEN ([10, 127, 169, 172, 192, 224, 250, 198])[r % 8 + 1] ELSE r END AS a, CASE WHEN r < 64 THEN ([254, 168, 18, 16])[b0 % 4 + 1] ELSE b0 END AS b, c, d FROM o),
+    v AS (SELECT *, {_V4} AS v4 FROM p),
+    w AS (SELECT *, CASE k WHEN 0 THEN 'link_local' WHEN 6 THEN 'private' WHEN 7 THEN 'multicast' WHEN 8 THEN 'public' WHEN 9 THEN CASE WHEN a % 2 = 0 THEN 'loopback' ELSE 'unspecified' END ELSE CASE WHEN k = 5 AND a = 0 AND b = 0 AND c = 0 AND d < 2 THEN CASE d WHEN 1 THEN 'loopback' ELSE 'unspecified' END ELSE v4 END END AS kind FROM v)
+    SELECT page_id, CASE WHEN kind <> 'public' THEN kind END AS blocked, CASE WHEN kind IN ('link_local', 'multicast', 'unspecified') THEN kind END AS always, CASE WHEN kind <> 'public' THEN 'blocked_address' END AS url_error, kind <> 'public' AND kind <> 'multicast' AS direct FROM w"""
+)
+def ipv6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 hosts that hold an IPv4 address made of the page's hash, in each way there is, or lie in a block of their own."""
+    m = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    byte = lambda i: F.conv(F.substring(m, 2 * i + 1, 2), 16, 10).cast("int")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
+    r = byte(0)
+    rows = v.table(spark, sf_dir, "pages").select("page_id", F.when(r < 128, pick((10, 127, 169, 172, 192, 224, 250, 198), r % 8)).otherwise(r).alias("a"), F.when(r < 64, pick((254, 168, 18, 16), byte(1) % 4)).otherwise(byte(1)).alias("b"), byte(2).alias("c"), byte(3).alias("d"))
+    k, (a, b, c, d) = F.col("page_id") % 10, map(F.col, "abcd")
+    dotted, word = F.concat_ws(".", a, b, c, d), lambda x, y: F.lower(F.hex(x * 256 + y))
+    flipped = lambda x, y: F.lower(F.hex(65535 - (x * 256 + y)))
+    join = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
+    host = (
+        F.when(k == 0, join("fe80::", word(a, b), "%eth0"))
+        .when(k == 1, join("::FFFF:", dotted))
+        .when(k == 2, join("2002:", word(a, b), ":", word(c, d), "::1"))
+        .when(k == 3, join("64:ff9b::", word(a, b), ":", word(c, d)))
+        .when(k == 4, join("2001:0:808:808:0:1:", flipped(a, b), ":", flipped(c, d)))
+        .when(k == 5, join("::", dotted))
+        .when(k == 6, join("fd00:", word(a, b), "::", word(c, d)))
+        .when(k == 7, join("ff02:0:0:0:0:0:0:", word(c, d)))
+        .when(k == 8, join("2606:4700::", word(a, b), ":0:", word(c, d)))
+        .otherwise(F.when(a % 2 == 0, "::1").otherwise("::"))
+    )
+    url = join("http://[", host, "]:8080/x")
+    return rows.select("page_id", addresses.blocked_kind(host).alias("blocked"), addresses.blocked_kind(host, True).alias("always"), rules.url_error(url).alias("url_error"), rules.bypasses_proxy(host).alias("direct"))
 
 
 @query(
@@ -200,14 +238,14 @@ def throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH have AS (SELECT 'k' || c_custkey AS key, CAST(c_acctbal AS VARCHAR) AS value FROM customer WHERE c_custkey % 2 = 0), put AS (SELECT 'k' || c_custkey AS key, 'new' || c_custkey AS value FROM customer WHERE c_custkey % 3 = 0),
     m AS (SELECT coalesce(p.key, h.key) AS key, coalesce(p.value, h.value) AS value, p.key IS NOT NULL AS changed FROM have h FULL JOIN put p ON h.key = p.key)
-    SELECT key, CASE WHEN key IN ('k3', 'k6') AND value <> '' THEN '__TF_UNCHANGED__' ELSE value END AS value, changed FROM m"""
+    SELECT key, CASE WHEN key IN ('k3', 'k6') AND value <> '' THEN '<kept>' ELSE value END AS value, changed FROM m"""
 )
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.table(spark, sf_dir, "customer")
     key = F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key")
     have = rows.where("c_custkey % 2 = 0").select(key, F.col("c_acctbal").cast("string").alias("value"))
     put = rows.where("c_custkey % 3 = 0").select(key, F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("value"))
-    return config.upsert(have, put).select("key", rules.shown(F.col("key"), F.col("value"), ("k3", "k6")).alias("value"), "changed")
+    return config.upsert(have, put, "<kept>").select("key", rules.shown(F.col("key"), F.col("value"), ("k3", "k6"), "<kept>").alias("value"), "changed")
 
 
 @query(
