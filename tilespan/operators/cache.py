@@ -35,24 +35,25 @@ def exclusive_runs(rows: DataFrame, owner: str, keys: list[str]) -> DataFrame:
     return held.where("open = 1").select(owner, *keys, "x0", "x1")
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Points (zoom, x, y) inside any span of their row.
+def points_in_spans(points: DataFrame, spans: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Points (zoom, x, y) inside any span of their row; within: columns that both must share besides.
 
     Distinct cells are probed, cut into blocks of columns of their row (512 to a row at most); the spans of rows that hold
     any are cut at the blocks' borders, so that a row with many points is many groups. In a block the span that begins
     last before x decides.
     """
-    cells = points.select("zoom", "x", "y").distinct()
+    row = [*(within or []), "zoom", "y"]
+    cells = points.select(*row, "x").distinct()
     block = F.greatest(F.lit(64), F.expr("shiftleft(1L, greatest(zoom - 9, 0))"))
     at = lambda c: F.floor(F.col(c) / block).cast("long")
-    wanted = cells.select("zoom", "y", at("x").alias("b")).distinct()
-    held = spans.join(cells.select("zoom", "y").distinct(), ["zoom", "y"], "left_semi")
-    cut = held.select("zoom", "y", "x0", "x1", F.explode(F.sequence(at("x0"), at("x1"))).alias("b")).join(wanted, ["zoom", "y", "b"], "left_semi")
-    starts = cut.select("zoom", "y", "b", F.greatest("x0", F.col("b") * block).alias("x"), F.lit(0).alias("kind"), F.col("x1").alias("end"))
-    probes = cells.select("zoom", "y", at("x").alias("b"), "x", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
-    w = Window.partitionBy("zoom", "y", "b").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inside = starts.union(probes).withColumn("reach", F.max("end").over(w)).where("kind = 1 and reach >= x").select("zoom", "x", "y")
-    return points.join(inside, ["zoom", "x", "y"], "left_semi")
+    wanted = cells.select(*row, at("x").alias("b")).distinct()
+    held = spans.join(cells.select(*row).distinct(), row, "left_semi")
+    cut = held.select(*row, "x0", "x1", F.explode(F.sequence(at("x0"), at("x1"))).alias("b")).join(wanted, [*row, "b"], "left_semi")
+    starts = cut.select(*row, "b", F.greatest("x0", F.col("b") * block).alias("x"), F.lit(0).alias("kind"), F.col("x1").alias("end"))
+    probes = cells.select(*row, at("x").alias("b"), "x", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
+    w = Window.partitionBy(*row, "b").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = starts.union(probes).withColumn("reach", F.max("end").over(w)).where("kind = 1 and reach >= x").select(*row, "x")
+    return points.join(inside, [*row, "x"], "left_semi")
 
 
 def usage(files: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespan.operators import polygons
+from tilespan.operators import deletion, polygons
 from tilespan.plans import storage
 from tilespan.plans import views as v
 from tilespan.plans.catalogue import query
-from tilespan.plans.views import with_views
+from tilespan.plans.views import sql_tile_x, sql_tile_y, with_views
 
 #: The corners of storage's shapes as shares of a box: x1, y1, x2, y2 of each edge.
 _EDGES = "(VALUES (0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1, 0.75), (1, 0.75, 0.5, 1), (0.5, 1, 0, 0.5), (0, 0.5, 0, 0), (0.25, 0.25, 0.25, 0.5), (0.25, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.25), (0.5, 0.25, 0.25, 0.25))"
@@ -120,3 +120,29 @@ def polygon_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = polygons.polygon_spans(storage.shaped(v.regions(spark, sf_dir)), "region", 0, 21)
     place = (F.col("y") * 31 + F.col("x0") * 17 + F.col("x1") * 7) % 1000003
     return found.groupBy("region", "zoom").agg(F.count("*").alias("spans"), F.sum(F.col("x1") - F.col("x0") + 1).alias("tiles"), F.sum(place).alias("places"))
+
+
+def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks in namespaces that files have, too."""
+    k = F.col("id")
+    namespace = F.concat_ws("-", "style", F.substring(F.md5((k % 6).cast("string").cast("binary")), 1, 8))
+    return v.tasks(spark, sf_dir).select("id", "status", namespace.alias("namespace"), "north", "south", "east", "west", "zoom_min", "zoom_max", F.lit(None).cast("array<array<struct<lon:double,lat:double>>>").alias("rings"))
+
+
+@query(
+    with_views("tasks", "files")
+    + f""", o AS (SELECT id, style || '-' || substr(md5(CAST(id % 6 AS VARCHAR)), 1, 8) AS namespace, west, least(east, 180) AS east, south, north, zoom_min, zoom_max FROM tasks UNION ALL SELECT id, style || '-' || substr(md5(CAST(id % 6 AS VARCHAR)), 1, 8), -180, east - 360, south, north, zoom_min, zoom_max FROM tasks WHERE east > 180),
+    z AS (SELECT *, unnest(range(zoom_min, zoom_max + 1)) AS z FROM o), r AS (SELECT id, namespace, z, {sql_tile_x("west", "z")} AS a, {sql_tile_x("east", "z")} AS b, {sql_tile_y("north", "z")} AS c, {sql_tile_y("south", "z")} AS d FROM z),
+    x AS (SELECT id, namespace, z, c, d, unnest(range(least(a, b), greatest(a, b) + 1)) AS x FROM r), t AS (SELECT id, namespace, z AS zoom, x, unnest(range(least(c, d), greatest(c, d) + 1)) AS y FROM x),
+    gone AS (SELECT DISTINCT namespace, zoom, x, y FROM t WHERE id % 41 = 2), kept AS (SELECT DISTINCT namespace, zoom, x, y FROM t WHERE id % 41 <> 2 AND (id % 41 = 1 OR id % 41 = 3)),
+    free AS (SELECT * FROM gone EXCEPT SELECT * FROM kept)
+    SELECT namespace, count(*) AS removed_files, CAST(sum(bytes) AS BIGINT) AS removed_bytes FROM files JOIN free USING (namespace, zoom, x, y) GROUP BY namespace"""
+)
+def deletion_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes that go with one task in forty-one, where one in forty-one was there before and one has come since; files are read from their paths."""
+    rows, k = _owners(spark, sf_dir), F.col("id")
+    gone, before, since = rows.where(k % 41 == 2), rows.where((k % 41).isin(1, 2)), rows.where((k % 41).isin(1, 3))
+    kept = deletion.survivors(before, since, gone)
+    runs = deletion.exclusive(deletion.referenced(gone), deletion.referenced(kept))
+    listing = v.files(spark, sf_dir).select(F.concat_ws("/", F.lit("/data/cache"), "namespace", F.col("zoom").cast("string"), F.col("x").cast("string"), F.concat(F.col("y").cast("string"), F.lit(".png"))).alias("path"), "bytes")
+    return deletion.freed(deletion.removable(deletion.listed_tiles(listing), runs))
