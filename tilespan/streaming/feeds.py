@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilespan.operators import ledger
 from tilespan.schemas import GAP_OUTCOMES
+from tilespan.streaming import kept
 
 
 def outcome_counts(observations: DataFrame, every: str = "1 minute", late: str = "10 seconds") -> DataFrame:
@@ -50,30 +51,19 @@ def throttled(events: DataFrame, key: str, final: Column, seconds: float = 0.5)
 
 
 def keep_ledger(observations: DataFrame, folder: str, checkpoint: str):
-    """A running query that merges each micro-batch into the ledger's newest version under `folder`.
+    """A running query that merges each micro-batch into the gap ledger under `folder`.
 
-    A version is a Parquet table named by its batch, written whole before it is read again, so that a batch that
-    runs twice gives the same version.
+    A batch rewrites the buckets of the ledger that it touches; one that runs twice is merged once.
     """
     keys = ["task", "zoom", "x", "y"]
+    schema = "task long, zoom int, x long, y long, outcome string, retries int"
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = ledger.last_wins(batch, keys, ["ts"])
-        old = read_ledger(spark, folder, before=number)
-        now = ledger.merge(old, last, keys) if old is not None else last.where(ledger.is_gap(F.col("outcome"))).select(*keys, "outcome", F.lit(0).alias("retries"))
-        now.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        kept.merge(folder, number, ledger.last_wins(batch, keys, ["ts"]), keys, lambda old, new: ledger.merge(old, new, keys), schema)
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
-def read_ledger(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The newest version, or the newest under number `before`; None where there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    versions = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{folder}/version={max(versions)}") if versions else None
+def read_ledger(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame | None:
+    """The ledger after the newest batch, or after batch `upto`; None where there is none."""
+    return kept.read(spark, folder, upto)
