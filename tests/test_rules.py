@@ -55,6 +55,15 @@ def test_templates(spark):
     assert found[1][0] == "https://h.example.com/a?x={x}&y={y}&zoom={z}#7" and 2 not in found and 3 not in found and 4 not in found
 
 
+def test_templates_of_urls_with_many_numbers(spark):
+    many = "/".join(f"a{i}/{i % 7}" for i in range(60))
+    urls = [f"https://h/{many}", f"https://h/{many}/b/3/5/2.png", f"https://h/{many}?zoom=3&tilecol=5&row=2", "https://h/" + "/".join(["3/x"] * 20), "https://h/4/20/1?x=2", "https://h/4/a/2?x=20&y=3&x=2", "https://h/9/1"]
+    found = {r.id: r.template for r in wizard.templates(spark.createDataFrame(list(enumerate(urls)), "id int, url string"), "id").collect()}
+    assert found[1] == f"https://h/{many}/b/{{z}}/{{x}}/{{y}}.png" and found[2] == f"https://h/{many}?zoom={{z}}&tilecol={{x}}&row={{y}}"
+    assert 0 not in found and found[3].startswith("https://h/{z}/x/{x}/x/{y}/x/3") and 6 not in found
+    assert found[4] == "https://h/{z}/20/{y}?x={x}" and found[5] == "https://h/{z}/a/2?x=20&y={y}&x={x}"
+
+
 def test_rate_keeps_one_older_sample(spark):
     rows = spark.sql("SELECT 1 AS task, timestamp_seconds(t) AS ts, b AS total FROM VALUES (0, 0), (10, 100), (11, 150), (12, 160), (20, 400) AS v(t, b)")
     assert [r.rate for r in tasks.trailing_rate(rows, "task").orderBy("ts").collect()] == [0.0, 10.0, 150 / 11, 160 / 12, 30.0]

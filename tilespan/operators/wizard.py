@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespan.schemas import MAX_ZOOM
@@ -10,6 +10,8 @@ from tilespan.schemas import MAX_ZOOM
 #: Names that query values of each kind go by, and digits of a number at most.
 NAMES = {"z": ("z", "zoom", "level", "tilematrix"), "x": ("x", "col", "tilecol"), "y": ("y", "row", "tilerow")}
 DIGITS = 10
+#: Fixed value: slots of a URL at most, where nothing but trying all triples is left.
+MOST_SLOTS = 48
 
 
 def _parts(url: Column) -> tuple[Column, Column, Column]:
@@ -46,20 +48,44 @@ def in_grid(z: Column, x: Column, y: Column) -> Column:
     return z.between(0, MAX_ZOOM) & (x >= 0) & (x < n) & (y >= 0) & (y < n)
 
 
-def templates(urls: DataFrame, key: str, url: str = "url") -> DataFrame:
+def _named(s: Column) -> Column:
+    """The first triple of query values that go by the names of z, x and y."""
+    by = lambda words: F.filter(s, lambda c: (c.kind == "query") & c["name"].isin(*words))
+    of = {r: by(words) for r, words in NAMES.items()}
+    triple = lambda z, x, y: F.struct(z.alias("z"), x.alias("x"), y.alias("y"))
+    every = F.flatten(F.transform(of["z"], lambda z: F.flatten(F.transform(of["x"], lambda x: F.transform(of["y"], lambda y: triple(z, x, y))))))
+    return F.get(F.filter(every, lambda t: in_grid(t.z.number, t.x.number, t.y.number)), F.lit(0))
+
+
+def _neighbours(s: Column, second: str, third: str) -> Column:
+    """The first three path segments in a row that are z, then the other two in the given order."""
+    three = lambda i: F.struct(F.get(s, i).alias("z"), F.get(s, i + 1).alias(second), F.get(s, i + 2).alias(third))
+    runs = F.when(F.size(s) >= 3, F.transform(F.sequence(F.lit(0), F.size(s) - 3), three))
+
+    def fits(t: Column) -> Column:
+        one, two, last = t.z, t[second], t[third]
+        return (last.kind == "path") & (one.kind == "path") & (two.kind == "path") & (two.ordinal == one.ordinal + 1) & (last.ordinal == two.ordinal + 1) & in_grid(t.z.number, t.x.number, t.y.number)
+
+    found = F.get(F.filter(runs, fits), F.lit(0))
+    return F.when(found.isNotNull(), F.struct(found.z.alias("z"), found.x.alias("x"), found.y.alias("y")))
+
+
+def templates(urls: DataFrame, key: str, url: str = "url", most: int = MOST_SLOTS) -> DataFrame:
     """key, template, scheme, subdomains of the URLs that have a z, an x and a y inside the grid.
 
-    Named query values come first, then neighbouring path segments in the order z, x, y, then z, y, x, then any others;
-    more names before fewer, earlier places before later. A URL has few slots: their triples are made in its row.
+    Named query values come first, then neighbouring path segments in the order z, x, y, then z, y, x: these are found in one
+    pass over a URL's slots. Only where there are none are triples of any slots ranked, more names before fewer and earlier places
+    before later; a URL of more than `most` slots is then no tile's and has no template.
     """
     of = slots(urls, key, url).groupBy(key, "url").agg(F.array_sort(F.collect_list(F.struct("place", "size", "kind", "ordinal", "name", "number"))).alias("s"))
-    triples = of.select(key, "url", "s", F.explode("s").alias("z")).select("*", F.explode("s").alias("x")).select("*", F.explode("s").alias("y"))
+    sure = of.withColumn("t", F.coalesce(_named(F.col("s")), _neighbours(F.col("s"), "x", "y"), _neighbours(F.col("s"), "y", "x")))
+    open_ = sure.where(F.col("t").isNull() & F.size("s").between(3, most)).select(key, "url", "s")
+    triples = open_.select("*", F.explode("s").alias("z")).select("*", F.explode("s").alias("x")).select("*", F.explode("s").alias("y"))
     able = triples.where((F.col("z.place") != F.col("x.place")) & (F.col("z.place") != F.col("y.place")) & (F.col("x.place") != F.col("y.place")) & in_grid(F.col("z.number"), F.col("x.number"), F.col("y.number")))
     named = sum(((F.col(f"{r}.kind") == "query") & F.col(f"{r}.name").isin(*words)).cast("int") for r, words in NAMES.items())
-    on_path = (F.col("z.kind") == "path") & (F.col("x.kind") == "path") & (F.col("y.kind") == "path")
-    follow = lambda *r: on_path & (F.col(f"{r[1]}.ordinal") == F.col(f"{r[0]}.ordinal") + 1) & (F.col(f"{r[2]}.ordinal") == F.col(f"{r[1]}.ordinal") + 1)
-    rank = F.struct(F.when(named == 3, 1).when(follow("z", "x", "y"), 2).when(follow("z", "y", "x"), 3).otherwise(4).alias("a"), (-named).alias("b"), F.col("z.place").alias("c"), F.col("x.place").alias("d"), F.col("y.place").alias("e"))
-    best = able.withColumn("rank", rank).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("rank"))).where("n = 1")
+    rank = F.struct((-named).alias("b"), F.col("z.place").alias("c"), F.col("x.place").alias("d"), F.col("y.place").alias("e"))
+    guessed = able.groupBy(key, "url").agg(F.min_by(F.struct("z", "x", "y"), rank).alias("t"))
+    best = sure.where("t is not null").select(key, "url", "t").unionByName(guessed).select(key, "url", "t.z", "t.x", "t.y")
     chosen = F.array_sort(F.array(*(F.struct(F.col(f"{r}.place").alias("place"), F.col(f"{r}.size").alias("size"), F.lit("{" + r + "}").alias("mark")) for r in "zxy")))
     swap = lambda text, c: F.concat(F.substr(text, F.lit(1), c.place), c.mark, F.substr(text, c.place + c.size + 1))
     made = F.aggregate(F.reverse(chosen), F.col("url"), swap)
