@@ -234,9 +234,13 @@ def components(docs: DataFrame, width: int = 5, radius: int = RADIUS, bucket: in
 def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The row of docs with the least doc_id (null last), then the least hash of its text, of each root; rooted: doc_id, sha, root."""
     sha, at, stay = unused(docs.columns, "sha", "at", "stay")
+    rooted = written(rooted.select("doc_id", "sha", "root"), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "sha")).alias("s")).select(F.col("s.doc_id").alias(at), F.col("s.sha").alias(stay))
     keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
     found = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(sha) == F.col(stay)), "left_semi")
+    # Only where rows repeat both, one has to be picked, for which whole rows move once more.
+    if rooted.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found.drop(sha)
     return found.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
