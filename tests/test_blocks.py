@@ -1,8 +1,11 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tilespan.operators import blocks, contours
+from tilespan.plans import rasters
+from tilespan.plans.catalogue import ORACLES
 
 SIDE = 8
 
@@ -155,6 +158,19 @@ def test_contours_pass_where_heights_cross_the_level(spark):
         assert max(s.max() for s in steps) <= 1 and r.closed == ((r.xs[0], r.ys[0]) == (r.xs[-1], r.ys[-1]))
 
 
+def test_contour_points_at_one_place_count_by_side(spark, tmp_path):
+    # A pixel on the level amid higher ones: its four sides are all crossed at the pixel itself.
+    z = np.full(64, 100.0)
+    z[20] = 75.0
+    rows = [(0, [v / 1000 for v in z.tolist()])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = [tuple(r) for r in rasters.contour_points(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(found) == sorted(db.sql(ORACLES["contour_points"]).fetchall())
+    assert len(set(found)) < len(found)
+
+
 def test_lines_join_over_blocks(spark):
     y, x = np.mgrid[:48, :48]
     cone = 100 - np.hypot(x - 23.3, y - 24.1) * 3

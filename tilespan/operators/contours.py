@@ -20,7 +20,7 @@ from tilespan.tables import written
 
 #: Fixed value: more levels than this in a block are not drawn.
 MOST_LEVELS = 200
-_FIELDS = "level double, is_index boolean, closed boolean, head long, tail long, xs array<double>, ys array<double>"
+_FIELDS = "level double, is_index boolean, closed boolean, head long, tail long, xs array<double>, ys array<double>, nodes array<long>"
 
 
 def _levels(low: float, high: float, interval: float, most: int) -> np.ndarray:
@@ -75,10 +75,11 @@ def _joined(pairs: np.ndarray) -> list[tuple[list[int], bool]]:
 def contours(blocks: DataFrame, side: int, interval: float, index_step: int = 5, most: int = MOST_LEVELS) -> DataFrame:
     """KEYS, level, is_index (every index_step-th multiple), closed, xs and ys (pixels; centres lie at halves) of each block's lines.
 
-    head and tail number the two ends of an open line, alike in the block across the border.
+    nodes number the sides between pixel centres that a line crosses, alike in the block across the border; head and tail are
+    the two ends of an open line. Where a height lies on a level or very near it, several nodes are at one place.
     """
     names = [*B.KEYS, *(f.split()[0] for f in _FIELDS.split(", "))]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
 
     def lines(raster: int, brow: int, bcol: int, z: np.ndarray) -> Iterator[tuple]:
         known = z[~np.isnan(z)]
@@ -96,8 +97,9 @@ def contours(blocks: DataFrame, side: int, interval: float, index_step: int = 5,
             place = dict(zip(ids.tolist(), zip(x.tolist(), y.tolist(), strict=True), strict=True))
             ratio = level / (interval * index_step)
             for line, closed in _joined(ids.reshape(2, -1).T):
-                path = [place[n] for n in line] + ([place[line[0]]] if closed else [])
-                yield raster, brow, bcol, float(level), bool(abs(ratio - round(ratio)) < 1e-6), closed, line[0], line[-1], [p[0] for p in path], [p[1] for p in path]
+                nodes = line + line[:1] if closed else line
+                path = [place[n] for n in nodes]
+                yield raster, brow, bcol, float(level), bool(abs(ratio - round(ratio)) < 1e-6), closed, line[0], line[-1], [p[0] for p in path], [p[1] for p in path], nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -105,10 +105,10 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CROSSED} SELECT raster, lv AS level, CAST(lv AS BIGINT) % 150 = 0 AS is_index, round(x, 6) AS x, round(y, 6) AS y FROM node")
 def contour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where contour lines pass between pixel centres; those in a block and its neighbour count once."""
-    path = F.arrays_zip("xs", "ys")
-    points = _pieces(spark, sf_dir).select("raster", "level", "is_index", F.inline(path)).select("raster", "level", "is_index", F.round("xs", 6).alias("x"), F.round("ys", 6).alias("y"))
-    return points.distinct()
+    """Where contour lines pass between pixel centres; those in a block and its neighbour count once, and two sides crossed at one place count twice."""
+    path = F.arrays_zip("xs", "ys", "nodes")
+    points = _pieces(spark, sf_dir).select("raster", "level", "is_index", F.inline(path)).dropDuplicates(["raster", "level", "nodes"])
+    return points.select("raster", "level", "is_index", F.round("xs", 6).alias("x"), F.round("ys", 6).alias("y"))
 
 
 @query(
