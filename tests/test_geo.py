@@ -79,3 +79,10 @@ def test_misc(spark):
     assert [r.code for r in raster.high_water_codes(coded, "k", "i", "v").orderBy("i").collect()] == [0, 0, 0, 1, 2, 0]
     page = tasks.page(spark.createDataFrame([(i, i // 2, "map") for i in range(10)], "id int, created_at int, task_type string"), 2, 3)
     assert [r.id for r in page.collect()] == [6, 5, 4]
+
+
+def test_first_rows_that_tie_do_not_depend_on_their_order(spark):
+    rows = [(1, 10, 7), (1, 10, 5), (1, 11, 1), (2, None, 3), (2, 4, 9), (3, None, 2)]
+    for given in (rows, rows[::-1]):
+        found = tasks.keep_first(spark.createDataFrame(given, "task long, file_id long, size long").coalesce(1), ["task"], "file_id")
+        assert sorted(map(tuple, found.collect())) == [(1, 10, 5), (2, 4, 9), (3, None, 2)]

@@ -44,9 +44,9 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the least `order`."""
+    """The row of each key with the least `order`; of several such, the one whose other columns are least, in their order."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first")).select(*keys, "first.*")
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.col(order).isNull(), order, F.struct(*others).alias("row"))).alias("first")).select(*keys, "first.row.*")
 
 
 def running_time(rows: DataFrame, records: DataFrame, now: Column, task: str = "task") -> DataFrame:
