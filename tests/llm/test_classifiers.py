@@ -62,3 +62,17 @@ def test_pooling_in_blocks(monkeypatch):
     whole = net.pooled(ids)
     monkeypatch.setattr(text_cnn, "BLOCK", 7)
     assert all(np.allclose(a, b) for a, b in zip(whole, net.pooled(ids), strict=True))
+
+
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(80)]
+    marks = ["".join(rng.choices("bcdfghjklm", k=9)) for _ in range(25)]
+    rows = [(i, " ".join([*rng.choices(words, k=20), *([marks[i // 4 % 25]] * 2 if i % 4 == 1 else []), *rng.choices(words, k=5)]), int(i % 4 == 1)) for i in range(2000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(text_cnn, "START", 60, raising=False)
+    # The driver trains on few of the rows, and most of the marks are in fewer of them than LEAST_TEXTS.
+    net = text_cnn.fit(docs, labels, "toxic", F.lit(True), most=60)
+    found = sorted(text_cnn.score(docs, net).select("score", (F.col("doc_id") % 4 == 1).alias("toxic")).collect())
+    below = np.cumsum([not r.toxic for r in found])
+    assert np.mean([b / below[-1] for b, r in zip(below, found, strict=True) if r.toxic]) > 0.9
