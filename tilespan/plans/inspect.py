@@ -131,13 +131,14 @@ def value_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE id % 6 WHEN 0 THEN 'missing_placeholders' WHEN 1 THEN 'unknown_placeholders' WHEN 3 THEN 'scheme' WHEN 4 THEN 'unknown_host' WHEN 5 THEN 'empty' END AS server_error FROM k"""
 )
 def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
+    k = F.col("id")
     octets = [(k * 7919) % 256, (k * 104729) % 256, k % 256, k % 3]
-    host = F.concat_ws(".", *(o.cast("string") for o in octets))
+    host, kind = F.col("host"), F.col("kind")
     url = F.when(k % 6 == 0, F.concat(F.lit("ftp://"), host)).when(k % 6 == 1, F.concat(F.lit("http://tiles.example.com@"), host, F.lit("/a"))).when(k % 6 == 2, F.concat(F.lit("http://"), host, F.lit(":99999/"))).when(k % 6 == 3, F.lit("https:///x")).when(k % 6 == 4, F.concat(F.lit(" HTTP://"), host, F.lit(":80/p?q#f "))).otherwise(F.lit("https://tiles.example.com/"))
     entry = F.when(k % 6 == 0, "https://h/{z}/{x}").when(k % 6 == 1, "http://h/{z}/{x}/{y}?k={q}").when(k % 6 == 2, "https://{s}.h/{z}/{x}/{y}").when(k % 6 == 3, "ftp://h").when(k % 6 == 4, "no host").otherwise("  ")
-    kind = addresses.kind4(addresses.ipv4(host))
-    return v.table(spark, sf_dir, "part").select(k.alias("id"), kind.alias("kind"), addresses.blocked(kind).alias("blocked"), addresses.blocked(kind, True).alias("always"), rules.url_error(url).alias("url_error"), rules.server_error(entry).alias("server_error"))
+    rows = v.dealt(v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id").withColumn("host", F.concat_ws(".", *(o.cast("string") for o in octets)))
+    rows = rows.withColumn("kind", addresses.kind4(addresses.ipv4(host)))
+    return rows.select("id", "kind", addresses.blocked(kind).alias("blocked"), addresses.blocked(kind, True).alias("always"), rules.url_error(url).alias("url_error"), rules.server_error(entry).alias("server_error"))
 
 
 _V4 = """CASE WHEN a = 169 AND b = 254 THEN 'link_local' WHEN a BETWEEN 224 AND 239 THEN 'multicast' WHEN a + b + c + d = 0 THEN 'unspecified' WHEN a = 127 THEN 'loopback'
