@@ -52,3 +52,12 @@ def test_best_fit_and_bound():
             assert [o for o, _ in inside] == np.cumsum([0] + [n for _, n in inside[:-1]]).tolist()
     assert packing.lower_bound(np.bincount([16] * 5, minlength=31)) == 5
     assert packing.lower_bound(np.bincount([11] * 6 + [20] * 2, minlength=31)) == 5
+
+
+def test_new_words_have_the_ids_of_the_tokenizers_library():
+    e = packing.WordEncoder(P.path(packing.VOCABULARY))
+    asked = ["Thening%%%", "éantre,", "ÀÉÈ.", "it's,", "they'll!", "a×b.", "×.", "İstanbul.", "ſtraße:", "x1.", "<|a|>.", "ab|", "--", ").", "éa.", "漢字.", "A" * 70 + ","]
+    found = {w: np.frombuffer(e.encode(w.encode()), dtype="<u4").tolist() for w in asked}
+    assert found == {w: e.slow.encode(w, add_special_tokens=False).ids for w in asked}
+    # Letters and the marks behind them are remembered apart, so a word with other marks need not be merged again.
+    assert "Thening".encode() in e.known and "éantre".encode() in e.known

@@ -15,9 +15,11 @@ by itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,8 @@ PART = 32768
 REMEMBERED = 200_000
 ROUNDS = 3
 _END_OF_WORD = b"\xff"
+#: Marks that are often behind words; no apostrophe, with which matches of more than marks begin.
+_MARKS = b".,;:!?)\"#$%&*"
 
 
 class WordEncoder:
@@ -62,21 +66,32 @@ class WordEncoder:
                 word = token.removesuffix("</w>") if len(token) > 4 else token
                 ranks[bytes(byte[c] for c in word) + (_END_OF_WORD if word != token else b"")] = i
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.plain = re.compile(r"[\x00-\x7fÀ-ž]*").fullmatch
+        self.letters = re.compile("(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+".encode("latin-1")).fullmatch  # of ASCII and À to ÿ, in UTF-8
+        self.packed = lambda ids: pack(f"<{len(ids)}I", *ids)
         self.known: dict[bytes, bytes] = {}
 
     def _new(self, word: bytes) -> bytes:
-        text = word.decode()
-        if b"<|" in word or not text.isascii() and not all("À" <= c <= "ž" or c.isascii() for c in text):
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+        if word.isalpha():  # ASCII letters alone are one match of the pattern
+            made = self.packed(self.merge(word.lower() + _END_OF_WORD))
+        elif word[-1:] in _MARKS and self.letters(stem := word.rstrip(_MARKS)):  # and marks after letters are one more
+            marks = word[len(stem) :]
+            made = (self.known.get(stem) or self._new(stem)) + (self.known.get(marks) or self._new(marks))
         else:
-            ids = [i for m in self.match.findall(text.lower()) for i in self.merge(m.encode() + _END_OF_WORD)]
-        made = np.array(ids, dtype="<u4").tobytes()
+            made = self.packed(self._ids(word))
         if len(word) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = made
         return made
 
+    def _ids(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if b"<|" in word or not self.plain(text):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        low = text.lower()
+        return [i for m in ([low] if low.isalpha() else self.match.findall(low)) for i in self.merge(m.encode() + _END_OF_WORD)]
+
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
         known, new = self.known.get, self._new
