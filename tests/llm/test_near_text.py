@@ -1,8 +1,12 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tilespan.llm import near_text
+from tilespan.llm.common import REMOVE_SHUFFLES, written
 
 
 def plain(rows, width=5, similarity=0.8):
@@ -99,3 +103,16 @@ def test_pairs_that_bands_and_fingerprints_miss(spark, monkeypatch):
         monkeypatch.setattr(near_text, "COMMON", most)
         monkeypatch.setattr(near_text, "BUCKET", bucket)
         assert sorted(repr(tuple(r)) for r in near_text.components(docs).collect()) == plain(rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {f for d in folders for f in d.glob("*/shuffle_*")}
+    before, setting = shuffles(), spark.conf.get(REMOVE_SHUFFLES)
+    found = written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    for _ in range(50):  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert found.count() == 100 and spark.conf.get(REMOVE_SHUFFLES) == setting

@@ -228,13 +228,16 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
     """u, v: all pairs of nodes (node, root, doc_id, same, size, first, cells) of different roots that have the similarity.
 
     Of the pairs that meet in a leading shingle, those are listed whose histograms allow the similarity; their sets are compared.
+    Nearly all shingles lead in one component alone. They go in two written steps, so that the shuffles of all of them, each
+    about the size of the texts, are never on disk together.
     """
-    keyed = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
-    met = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    every = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
+    met = written(every.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "met")
+    keyed = written(every.join(met, "key", "left_semi"), "keyed")
     # dealt_buckets sorts by a column fp; here it is the size.
     names = [f"c{k}" for k in range(CELLS)]
     cells = nodes.select("node", *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(names)))
-    dealt = dealt_buckets(keyed.join(met, "key", "left_semi").select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")).join(cells, "node"), BUCKET)
+    dealt = dealt_buckets(keyed.select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")).join(cells, "node"), BUCKET)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, cell), (size, node, root, place, *held) in whole_groups(batches, ("key", "cell"), ("fp", "node", "root", "place", *names)):
