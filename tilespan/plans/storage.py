@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tilespan.functions import grid, text
 from tilespan.operators import cache, config, ledger, polygons, raster, spans, tasks, terrain
 from tilespan.plans import views as v
-from tilespan.plans.catalogue import _ALL_PARTS, _LAST, _ledger, point_to_tile_all_zooms, query
+from tilespan.plans.catalogue import _ALL_PARTS, _LAST, _ledger, query, tiles_of
 from tilespan.plans.views import sql_tile_x, sql_tile_y, with_views
 
 _NS = "style || '-' || substr(md5(CAST(id % 6 AS VARCHAR)), 1, 8)"
@@ -89,7 +89,7 @@ def span_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, zoom, x, y FROM p WHERE EXISTS (SELECT 1 FROM rws t WHERE t.zoom = p.zoom AND t.y = p.y AND p.x BETWEEN t.x0 AND t.x1)"""
 )
 def points_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache.points_in_spans(point_to_tile_all_zooms(spark, sf_dir), spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21))
+    return cache.points_in_spans(tiles_of(v.dealt(v.points(spark, sf_dir), "id")), spans.row_spans(v.regions(spark, sf_dir), ["region"], 0, 21))
 
 
 @query(
