@@ -191,3 +191,16 @@ def test_flat_steep_and_empty_rasters(spark):
     assert contours.contours(flat, SIDE, 1.0).collect() == []
     none = spark.createDataFrame([], "raster long, brow int, bcol int, data array<double>")
     assert contours.lines(contours.contours(none, SIDE, 1.0)).collect() == [] and blocks.relief(none, SIDE).collect() == [] and blocks.ladder(none, SIDE).collect() == []
+
+
+def test_segments_of_stacked_blocks_are_those_of_each():
+    rng = np.random.default_rng(5)
+    z = rng.integers(0, 6, (7, 5, 6)).astype(float)
+    z[2, 1, 1] = np.nan
+    z[3] = 2.0  # flat: nothing is crossed
+    levels = np.array([1.0, 2.0, 3.0, 2.0, 4.0, 2.5, 2.0])
+    of, found = contours._segments(z, levels)
+    assert (np.diff(of) >= 0).all() and 3 not in of and len(found)
+    for k in range(len(z)):
+        alone, pairs = contours._segments(z[k : k + 1], levels[k : k + 1])
+        assert not alone.any() and (pairs == found[of == k]).all()

@@ -20,6 +20,8 @@ from tilespan.tables import written
 
 #: Fixed value: more levels than this in a block are not drawn.
 MOST_LEVELS = 200
+#: Heights that are gone through at once, a block counted for each of its levels.
+STACKED = 1 << 18
 _FIELDS = "level double, is_index boolean, closed boolean, head long, tail long, xs array<double>, ys array<double>, nodes array<long>"
 
 
@@ -32,15 +34,18 @@ def _levels(low: float, high: float, interval: float, most: int) -> np.ndarray:
     return (first + np.arange(n)) * interval if n <= most else np.zeros(0)
 
 
-def _segments(z: np.ndarray, level: float) -> np.ndarray:
-    """Pairs of crossed sides of the cells of z (rows + 1, cols + 1): (kind, row, col, kind, row, col); kind 0 goes right from a corner, 1 goes down."""
-    above = z > level
-    tl, tr, bl, br = above[:-1, :-1], above[:-1, 1:], above[1:, :-1], above[1:, 1:]
-    known = ~np.isnan(z)
-    full = known[:-1, :-1] & known[:-1, 1:] & known[1:, :-1] & known[1:, 1:]
-    r, c = np.nonzero(full & ((tl != tr) | (tl != bl) | (tl != br)))
-    case = tl[r, c] + 2 * tr[r, c] + 4 * br[r, c] + 8 * bl[r, c]
-    middle = (z[r, c] + z[r, c + 1] + z[r + 1, c] + z[r + 1, c + 1]) / 4 > level
+def _segments(z: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stacked heights (n, rows + 1, cols + 1) with a level each: the number in the stack, rising, and pairs of crossed sides of its cells.
+
+    A pair is (kind, row, col, kind, row, col); kind 0 goes right from a corner, 1 goes down.
+    """
+    corners = lambda a: (a[:, :-1, :-1], a[:, :-1, 1:], a[:, 1:, :-1], a[:, 1:, 1:])
+    tl, tr, bl, br = corners(z > levels[:, None, None])
+    known = corners(~np.isnan(z))
+    full = known[0] & known[1] & known[2] & known[3]
+    k, r, c = np.nonzero(full & ((tl != tr) | (tl != bl) | (tl != br)))
+    case = tl[k, r, c] + 2 * tr[k, r, c] + 4 * br[k, r, c] + 8 * bl[k, r, c]
+    middle = (z[k, r, c] + z[k, r, c + 1] + z[k, r + 1, c] + z[k, r + 1, c + 1]) / 4 > levels[k]
     # The sides: top, right, bottom, left.
     sides = [np.stack(x, axis=1) for x in ((0 * r, r, c), (0 * r + 1, r, c + 1), (0 * r, r + 1, c), (0 * r + 1, r, c))]
     saddle = (case == 5) | (case == 10)
@@ -48,7 +53,9 @@ def _segments(z: np.ndarray, level: float) -> np.ndarray:
     pick = lambda yes, a, b: np.hstack([sides[a][yes], sides[b][yes]])
     one = lambda *cases: np.isin(case, cases)
     cut = {(3, 0): one(1, 14) | (saddle & ~turned), (0, 1): one(2, 13) | turned, (1, 2): one(4, 11) | (saddle & ~turned), (2, 3): one(7, 8) | turned, (3, 1): one(3, 12), (0, 2): one(6, 9)}
-    return np.concatenate([pick(yes, a, b) for (a, b), yes in cut.items()])
+    of, pairs = np.concatenate([k[yes] for yes in cut.values()]), np.concatenate([pick(yes, a, b) for (a, b), yes in cut.items()])
+    order = np.argsort(of, kind="stable")
+    return of[order], pairs[order]
 
 
 def _joined(pairs: np.ndarray) -> list[tuple[list[int], bool]]:
@@ -81,32 +88,42 @@ def contours(blocks: DataFrame, side: int, interval: float, index_step: int = 5,
     names = [*B.KEYS, *(f.split()[0] for f in _FIELDS.split(", "))]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
 
-    def lines(raster: int, brow: int, bcol: int, z: np.ndarray) -> Iterator[tuple]:
-        known = z[~np.isnan(z)]
-        for level in _levels(known.min(), known.max(), interval, most) if len(known) else ():
-            found = _segments(z, level)
-            if not len(found):
-                continue
-            number = lambda s: ((s[:, 1] + brow * side) << 32) | ((s[:, 2] + bcol * side) << 1) | s[:, 0]
-            ends = np.concatenate([found[:, :3], found[:, 3:]])
-            ids = number(ends)
-            kind, r, c = ends.T
-            a, b = z[r, c], z[r + kind, c + 1 - kind]
-            t = (level - a) / (b - a)
-            x, y = c + bcol * side + 0.5 + np.where(kind == 0, t, 0), r + brow * side + 0.5 + np.where(kind == 1, t, 0)
-            place = dict(zip(ids.tolist(), zip(x.tolist(), y.tolist(), strict=True), strict=True))
-            ratio = level / (interval * index_step)
-            for line, closed in _joined(ids.reshape(2, -1).T):
-                nodes = line + line[:1] if closed else line
-                path = [place[n] for n in nodes]
-                yield raster, brow, bcol, float(level), bool(abs(ratio - round(ratio)) < 1e-6), closed, line[0], line[-1], [p[0] for p in path], [p[1] for p in path], nodes
+    def lines(keys: list[tuple[int, int, int]], z: np.ndarray) -> Iterator[tuple]:
+        wanted = []
+        for i, block in enumerate(z):
+            known = block[~np.isnan(block)]
+            wanted += [(i, level) for level in (_levels(known.min(), known.max(), interval, most) if len(known) else ())]
+        step = max(1, STACKED // z[0].size)
+        for start in range(0, len(wanted), step):
+            some = wanted[start : start + step]
+            at, levels = np.array([i for i, _ in some]), np.array([level for _, level in some])
+            of, found = _segments(z[at], levels)
+            kind, r, c = np.concatenate([found[:, :3], found[:, 3:]]).T
+            k = at[np.concatenate([of, of])]
+            top, left = np.array([(brow * side, bcol * side) for _, brow, bcol in keys], dtype=np.int64)[k].T
+            ids = ((r + top) << 32) | ((c + left) << 1) | kind
+            a, b = z[k, r, c], z[k, r + kind, c + 1 - kind]
+            t = (levels[np.concatenate([of, of])] - a) / (b - a)
+            x, y = c + left + 0.5 + np.where(kind == 0, t, 0), r + top + 0.5 + np.where(kind == 1, t, 0)
+            ids, x, y = (v.reshape(2, -1) for v in (ids, x, y))
+            cuts = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+            for (i, level), begin, end in zip(some, cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                mine = slice(begin, end)
+                place = dict(zip(ids[:, mine].ravel().tolist(), zip(x[:, mine].ravel().tolist(), y[:, mine].ravel().tolist(), strict=True), strict=True))
+                ratio = level / (interval * index_step)
+                for line, closed in _joined(ids[:, mine].T):
+                    nodes = line + line[:1] if closed else line
+                    path = [place[n] for n in nodes]
+                    yield *keys[i], float(level), bool(abs(ratio - round(ratio)) < 1e-6), closed, line[0], line[-1], [p[0] for p in path], [p[1] for p in path], nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             z = B.ringed(batch, side)[:, 1:, 1:]
-            rows = [x for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in B.KEYS), strict=True)) for x in lines(*key, z[i])]
+            rows = list(lines(list(zip(*(batch.column(k).to_pylist() for k in B.KEYS), strict=True)), z))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names)
 
     return B.with_neighbours(blocks, side).mapInArrow(run, f"raster long, brow int, bcol int, {_FIELDS}")
