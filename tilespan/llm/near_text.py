@@ -228,8 +228,8 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
     """u, v: all pairs of nodes (node, root, doc_id, same, size, first, cells) of different roots that have the similarity.
 
     Of the pairs that meet in a leading shingle, those are listed whose histograms allow the similarity; their sets are compared.
-    Nearly all shingles lead in one component alone. They go in two written steps, so that the shuffles of all of them, each
-    about the size of the texts, are never on disk together.
+    Nearly all shingles lead in one component alone. They go in two written steps, so that the two shuffles
+    of all of them are never on disk together.
     """
     every = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
     met = written(every.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "met")
