@@ -76,3 +76,48 @@ def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
     found = sorted(text_cnn.score(docs, net).select("score", (F.col("doc_id") % 4 == 1).alias("toxic")).collect())
     below = np.cumsum([not r.toxic for r in found])
     assert np.mean([b / below[-1] for b, r in zip(below, found, strict=True) if r.toxic]) > 0.9
+
+
+def test_words_are_remembered_and_pooled_as_by_plain_loops(monkeypatch):
+    def plain(text):
+        words = [w.strip(b".,;:!?\"'()[]").decode() for w in text.lower().split()]
+        return [[zlib.crc32(x.encode()) % (text_cnn.BUCKETS - 1) + 1 for x in (w, "4" + w[:4], "5" + w[:5])] for w in words]
+
+    monkeypatch.setattr(text_cnn, "REMEMBERED", 5)
+    known = text_cnn.Words()
+    texts = [b"", b"a", "\u00c9t\u00e9 \u00e9cole, \U0001f600!! (na\u00efve)".encode(), b"...", b"A b c d e f g a.", b"a " + b"z" * 300, b"h i"]
+    for text in [*texts, *texts]:
+        assert known.ids(text.lower().split()).tolist() == plain(text) == text_cnn.word_ids(text).tolist()
+    assert len(known) <= 5 + 7
+    net = text_cnn.train([text_cnn.word_ids(b"a b c"), text_cnn.word_ids(b"c d")], np.array([1.0, 0.0], dtype=np.float32))
+    for text in texts:
+        ids = plain(text) or [[0] * text_cnn.PARTS]
+        seen = [net.table[x].sum(axis=0) for x in ids] + [np.zeros(text_cnn.WIDTH)] * 2
+        want = [max(sum(seen[at + d] @ f[d, :, j] for d in range(w)) + b[j] for at in range(len(ids))) for w, f, b in zip(text_cnn.WIDTHS, net.filters, net.biases, strict=True) for j in range(text_cnn.FILTERS)]
+        assert np.allclose(net.pooled(text_cnn.word_ids(text), False)[0], want, atol=1e-5)
+        assert np.allclose(net.pooled(text_cnn.word_ids(text))[0], want, atol=1e-5)
+
+
+def test_a_step_follows_the_gradient():
+    net = text_cnn.train([text_cnn.word_ids(b"a b c"), text_cnn.word_ids(b"c d")], np.array([1.0, 0.0], dtype=np.float32))
+    net.table[1:] = np.random.default_rng(5).normal(0, 0.5, (text_cnn.BUCKETS - 1, text_cnn.WIDTH))
+    texts, y, weight = [text_cnn.word_ids(t) for t in (b"a b b c", b"d c a", b"")], np.array([0.0, 1.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    known = np.ones(text_cnn.BUCKETS, dtype=bool)
+    known[0] = False
+
+    def loss(flat):
+        other = text_cnn._moved(net, flat - text_cnn._flat(net))
+        return sum(w * (np.logaddexp(0, m := other.margin(t)) - v * m) for t, v, w in zip(texts, y, weight, strict=True))
+
+    state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in text_cnn._weights(net).items()}
+    before = text_cnn._flat(net)
+    now = text_cnn._moved(net, 0)
+    text_cnn._step(now, state, known, texts, y, weight, 1e-3, 1)
+    first = text_cnn.Network(state["table"][0], [state[f"filter{k}"][0] for k in range(3)], [state[f"bias{k}"][0] for k in range(3)], state["out"][0], float(state["base"][0][0]))
+    gradient = text_cnn._flat(first) * 10  # Adam's first moment after a step is a tenth of it
+    for row in [*np.unique(np.concatenate(texts))[:4], *range(text_cnn.BUCKETS, text_cnn.BUCKETS + 50, 7)]:
+        for column in (0, 5):
+            up, down = before.astype(float), before.astype(float)
+            up[row, column] += 1e-3
+            down[row, column] -= 1e-3
+            assert np.isclose((loss(up) - loss(down)) / 2e-3, gradient[row, column], atol=0.03, rtol=0.03)

@@ -47,30 +47,56 @@ STEPS = 1500
 BATCH = 16
 #: Words of a text that are convolved at once.
 BLOCK = 8192
+#: Of each place of each filter, the filter and where in it the place is.
+_COLUMN = np.concatenate([np.arange(k * FILTERS, (k + 1) * FILTERS) for k, w in enumerate(WIDTHS) for _ in range(w)])
+_OFFSET = np.concatenate([np.full(FILTERS, d) for w in WIDTHS for d in range(w)])
 _STRIP = b".,;:!?\"'()[]"
 
 
-#: Words that a worker remembers at most.
+#: Words, and bytes of words, beyond which a worker forgets those that it has met before the next text.
 REMEMBERED = 200_000
+REMEMBERED_BYTES = 1 << 23
 PARTS = 3
-_known: dict[bytes, tuple[int, ...]] = {}
 
 
-def _rows(word: bytes) -> tuple[int, ...]:
-    if len(_known) >= REMEMBERED:
-        _known.clear()
-    text = word.strip(_STRIP).decode()
-    made = tuple(zlib.crc32(x.encode()) % (BUCKETS - 1) + 1 for x in (text, "4" + text[:4], "5" + text[:5]))
-    if len(word) <= 64:
-        _known[word] = made
-    return made
+class Words(dict[bytes, int]):
+    """The words that a worker has met, numbered from 0, and the embedding rows of each."""
+
+    def __init__(self) -> None:
+        self.rows, self.fresh, self.size = np.zeros((1 << 10, PARTS), dtype=np.int32), [], 0
+
+    def __missing__(self, word: bytes) -> int:
+        text, number = word.strip(_STRIP), len(self)
+        if not text.isascii():
+            text = text.decode()
+            four, five, text = text[:4].encode(), text[:5].encode(), text.encode()
+        else:
+            four, five = text[:4], text[:5]
+        self.fresh.append([zlib.crc32(x) % (BUCKETS - 1) + 1 for x in (text, b"4" + four, b"5" + five)])
+        self.size += len(word)
+        self[word] = number
+        return number
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        if len(self) >= REMEMBERED or self.size >= REMEMBERED_BYTES:
+            self.clear()
+            self.__init__()
+        at = len(self)
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.fresh:
+            if len(self) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:at], np.zeros((2 * len(self) - at, PARTS), dtype=np.int32)])
+            self.rows[at : len(self)] = self.fresh
+            self.fresh = []
+        return self.rows.take(numbers, axis=0)
+
+
+_known = Words()
 
 
 def word_ids(text: bytes) -> np.ndarray:
     """The embedding rows of each word, lower-cased (A-Z) and without marks at its ends; row 0 stands after the text."""
-    known = _known.get
-    ids = [known(w) or _rows(w) for w in text.lower().split()]
-    return np.array(ids, dtype=np.int32).reshape(-1, PARTS)
+    return _known.ids(text.lower().split())
 
 
 @dataclass
@@ -85,27 +111,43 @@ class Network:
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
 
-    def pooled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The largest response of each filter over a text, and where it begins."""
+    def places(self) -> np.ndarray:
+        """The weights of each place of each filter: a row for each of _COLUMN and _OFFSET."""
+        return np.concatenate([f[d].T for f in self.filters for d in range(len(f))])
+
+    def pooled(self, ids: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter over a text, and, if asked for, where it begins."""
         best = np.full(len(WIDTHS) * FILTERS, -np.inf, dtype=np.float32)
         where = np.zeros(len(best), dtype=np.int64)
         pad = np.zeros((max(WIDTHS) - 1, PARTS), dtype=np.int32)
         end = max(1, len(ids))
         ids = np.concatenate([ids if len(ids) else pad[:1], pad])
+        every = self.places()
         for at in range(0, end, BLOCK):
-            seen = self.table[ids[at : min(at + BLOCK, end) + len(pad)]].sum(axis=1)
             n = min(BLOCK, end - at)
+            some = ids[at : at + n + len(pad)]
+            seen = self.table.take(some[:, 0], axis=0)
+            for k in range(1, PARTS):
+                seen += self.table.take(some[:, k], axis=0)
+            made, row = every @ seen.T, 0
             for k, w in enumerate(WIDTHS):
-                made = self.biases[k] + sum(seen[d : d + n] @ self.filters[k][d] for d in range(w))
-                top = made.argmax(axis=0)
-                values, part = made[top, np.arange(FILTERS)], slice(k * FILTERS, (k + 1) * FILTERS)
-                more = values > best[part]
-                best[part] = np.where(more, values, best[part])
-                where[part] = np.where(more, top + at, where[part])
+                sums = made[row : row + FILTERS, :n]
+                for d in range(1, w):
+                    row += FILTERS
+                    sums = sums + made[row : row + FILTERS, d : d + n]
+                row += FILTERS
+                part = slice(k * FILTERS, (k + 1) * FILTERS)
+                if places:
+                    top = sums.argmax(axis=1)
+                    values = sums[np.arange(FILTERS), top] + self.biases[k]
+                    where[part] = np.where(values > best[part], top + at, where[part])
+                else:
+                    values = sums.max(axis=1) + self.biases[k]
+                best[part] = np.maximum(best[part], values)
         return best, where
 
     def margin(self, ids: np.ndarray) -> float:
-        return float(np.maximum(self.pooled(ids)[0], 0) @ self.out + self.base)
+        return float(np.maximum(self.pooled(ids, False)[0], 0) @ self.out + self.base)
 
     def score(self, ids: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.margin(ids) + self.shift, -30, 30))))
@@ -140,27 +182,24 @@ def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Network:
 
 def _step(net: Network, state: dict, known: np.ndarray, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float, step: int) -> None:
     """One step along the gradient over some texts, each as its weight says; embeddings that are not known stay."""
-    grads: dict[str, np.ndarray] = {k: np.zeros_like(v) for k, v in _weights(net).items() if k != "table"}
-    rows, pushes = [], []
-    for ids, label, counts in zip(texts, y, weight, strict=True):
-        best, where = net.pooled(ids)
-        act = np.maximum(best, 0)
-        err = counts * (1 / (1 + np.exp(-np.clip(act @ net.out + net.base, -30, 30))) - label)
-        grads["out"] += err * act
-        grads["base"] += err
-        back = np.where(best > 0, err * net.out, 0)
-        padded = np.concatenate([ids, np.zeros((max(WIDTHS), PARTS), dtype=np.int32)])
-        for k, w in enumerate(WIDTHS):
-            b = back[k * FILTERS : (k + 1) * FILTERS]
-            grads[f"bias{k}"] += b
-            for d in range(w):
-                hit = padded[where[k * FILTERS : (k + 1) * FILTERS] + d]
-                grads[f"filter{k}"][d] += net.table[hit].sum(axis=1).T * b
-                rows.append(hit.ravel())
-                pushes.append(np.repeat((net.filters[k][d] * b).T, PARTS, axis=0))
-    hit, back = np.unique(np.concatenate(rows), return_inverse=True)
-    push = np.zeros((len(hit), WIDTH), dtype=np.float32)
-    np.add.at(push, back, np.concatenate(pushes))
+    found = [net.pooled(ids) for ids in texts]
+    best = np.stack([b for b, _ in found])
+    pad = np.zeros((max(WIDTHS), PARTS), dtype=np.int32)
+    rows = np.stack([np.concatenate([ids, pad]).take(where[_COLUMN] + _OFFSET, axis=0) for ids, (_, where) in zip(texts, found, strict=True)])
+    act = np.maximum(best, 0)
+    err = weight * (1 / (1 + np.exp(-np.clip(act @ net.out + net.base, -30, 30))) - y)
+    back = np.where(best > 0, err[:, None] * net.out, 0)
+    of_place = back[:, _COLUMN]
+    grads: dict[str, np.ndarray] = {"out": (err @ act).astype(np.float32), "base": np.array([err.sum()])}
+    moved = np.einsum("tpe,tp->pe", net.table[rows].sum(axis=2), of_place).astype(np.float32)
+    at = 0
+    for k, w in enumerate(WIDTHS):
+        grads[f"bias{k}"] = back[:, k * FILTERS : (k + 1) * FILTERS].sum(axis=0).astype(np.float32)
+        grads[f"filter{k}"] = moved[at : at + w * FILTERS].reshape(w, FILTERS, WIDTH).transpose(0, 2, 1)
+        at += w * FILTERS
+    hit, which = np.unique(rows, return_inverse=True)
+    pushes = np.repeat((net.places() * of_place[:, :, None]).reshape(-1, WIDTH), PARTS, axis=0)
+    push = np.stack([np.bincount(which.ravel(), column, len(hit)) for column in pushes.T], axis=1).astype(np.float32)
     push[~known[hit]] = 0
     _adam(net, state, grads, hit, push, rate, step)
 
