@@ -214,3 +214,32 @@ def test_tables_are_counts_of_all_training_texts(spark):
             at = slot(((node + 1) * int(lm._NODE) + lm.word_hash(w.encode(), True)) & M, 4, 16)
             part, whole = (np.frombuffer(tables[4, at // lm.PAGE][j], dtype=np.int8)[at % lm.PAGE] for j in (0, 1))
             assert part == 0 and abs(whole - math.log((below[node, 1] + 0.1) / (below[node, 0] + 0.1)) * lm.UNIT) <= 0.51
+
+
+def test_texts_are_numbered_once(spark, monkeypatch):
+    """Tokens and units give the scores of the texts themselves; the words not at hand are listed whole, with how often they occur."""
+    monkeypatch.setattr(lm, "REMEMBERED", 3)
+    monkeypatch.setattr(lm, "TOKENS", 64)
+    model = tiny_model()
+    rng = random.Random(3)
+    texts = ["", None, "The x, q \u00e9 q", "z" * 9000 + " the q " + "y" * 4096, *(" ".join(rng.choices(["the", "then", "x,", "zebra", "\u043c\u0438\u0440", "q9", "b"], k=n)) for n in (1, 50, 700))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string").coalesce(1)
+    at_hand = {b"the": -1.0, b"x,": -2.5, b"": -0.5}
+    table = lm.numbered(docs, model.code, at_hand).orderBy("id").toArrow()
+    assert table.column_names == ["id", "tokens", "units", "n_tokens", "n_bytes", "n_known", "base", "rare"]
+    low = [(t or "").encode() for t in texts]
+    for text, row in zip(low, table.to_pylist(), strict=True):
+        counts = Counter([*text.lower().split(), b""])
+        known = {w: n for w, n in counts.items() if w in at_hand}
+        assert Counter({r["word"]: r["times"] for r in row["rare"]}) == counts - Counter(known)
+        assert (row["n_tokens"], row["n_known"], row["n_bytes"]) == (counts.total(), sum(known.values()), sum((len(w) + 1) * n for w, n in counts.items()))
+        assert math.isclose(row["base"], sum(at_hand[w] * n for w, n in known.items()))
+        assert sum(row["units"]) * 4 == len(row["tokens"])
+    assert np.allclose(lm.token_scores(model, iter(table.to_batches())), lm.text_scores(model, iter(low), spell=False), rtol=1e-9)
+
+
+def test_tokens_stand_for_last_bytes():
+    words = [b"a", b"ab", b"abc", b"xabc", b"\x00a", b"\x00\x00\x00", "\u043c\u0438\u0440".encode(), b"\xff" * 9]
+    tokens = lm.tokens_of(words)
+    assert (tokens < 0).all() and tokens[2] == tokens[3] and len(set(tokens.tolist())) == len(words) - 1
+    assert [lm.token_hash(t) for t in tokens.tolist()] == [lm.word_hash(w, False) for w in words]

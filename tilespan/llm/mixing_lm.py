@@ -19,7 +19,8 @@ from the texts themselves. Counts are added up in tables of hashed slots, whose
 are counted from them.
 
 The unigram score sums log10((c + 0.1) / (N + 0.1 (V + 1))) over words and the end. Counts of those of the FREQUENT words that
-are in the tree are at hand in each task. What it takes to spell a word does not depend on the text, so each distinct word is
+are in the tree are at hand in each task. A text is split and its words are looked up once, into a table of numbers from which
+word pairs are counted and scores are made. What it takes to spell a word does not depend on the text, so each distinct word is
 spelled once; other words of a text are joined to their counts and spellings by shuffle.
 
 Defined cases: a null text is the empty text (an end alone); rows that repeat a doc_id are scored each by itself;
@@ -31,10 +32,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespan.llm.common import map_slices, utf8, written
+from tilespan.llm.common import in_slices, map_slices, utf8, written
 
 #: Contexts of bytes: how many bytes (0: the whole word so far), and the bits of the table; None: grows with the distinct words.
 ORDERS = ((2, 17), (3, 19), (5, 20), (0, None))
@@ -54,6 +56,10 @@ FREQUENT = 65_536
 #: Words with a path of their own in the tree at most, and how often they occur at least.
 VOCABULARY = 65_536
 LEAST_TIMES = 8
+#: Tokens of texts that are laid out at once.
+TOKENS = 1 << 15
+#: Words outside the tree whose numbers a task remembers from batch to batch.
+REMEMBERED = 65_536
 WINDOW = 1 << 19
 LONG_WORD = 4096
 #: Decisions after which weights and the text's own context are brought up to date.
@@ -67,7 +73,7 @@ CELLS = 513
 TASK_BYTES = 128 << 20
 TASK_WORDS = 1_000_000
 #: Bytes that are spelled at once.
-SPELL_BYTES = 1 << 17
+SPELL_BYTES = 1 << 14
 PAGE = 4096
 _R = 0x9E3779B97F4A7C15
 _MIX = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -158,7 +164,10 @@ def fresh() -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def cells_of(z: np.ndarray) -> np.ndarray:
     """The refinement's cell of each logit."""
-    return np.clip(np.rint((z + np.float32(8)) * np.float32((CELLS - 1) / 16)), 0, CELLS - 1).astype(np.int64)
+    made = z + np.float32(8)
+    made *= np.float32((CELLS - 1) / 16)
+    np.rint(made, out=made)
+    return np.minimum(np.maximum(made, 0, out=made), CELLS - 1, out=made).astype(np.int64)
 
 
 def shortened(words: list[bytes]) -> list[bytes]:
@@ -222,8 +231,14 @@ def spelled(code: Code, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, lis
         if any(o == back for o, _ in ORDERS):
             hashes[back] = recent.copy()
     place, steps = _walk(code.bytes, flat)
-    hashed = code.bytes.hashed.take(place)
-    return np.repeat(np.repeat(np.arange(len(parts)), size), steps), code.bytes.turns.take(place), [np.repeat(hashes[o], steps) + hashed for o, _ in ORDERS]
+    hashed = code.bytes.hashed.take(place, mode="clip")
+    of = np.repeat(np.arange(len(parts)), np.add.reduceat(steps, start))
+    contexts = []
+    for order, _ in ORDERS:
+        mixed = np.repeat(hashes[order], steps)
+        mixed += hashed
+        contexts.append(mixed)
+    return of, code.bytes.turns.take(place, mode="clip"), contexts
 
 
 def slots(hashed: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -240,13 +255,68 @@ def word_hash(word: bytes, known: bool) -> int:
     return xxhash.xxh3_64_intdigest(word if known else word[-TAIL:], int(known))
 
 
+def tokens_of(words: list[bytes]) -> np.ndarray:
+    """What stands for words outside the tree: below zero, from their last bytes."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    flat, end = np.frombuffer(bytes(TAIL) + b"".join(words), dtype=np.uint8), np.cumsum(size) + TAIL
+    out = np.minimum(size, TAIL) << 8 * TAIL
+    for back in range(1, TAIL + 1):
+        out |= np.where(size >= back, flat.take(end - back).astype(np.int64), 0) << 8 * (back - 1)
+    return (-1 - out).astype(np.int32)
+
+
+@lru_cache(1 << 16)
+def token_hash(token: int) -> int:
+    """word_hash of the words outside the tree that tokens_of gives this token."""
+    size = (-1 - token) >> 8 * TAIL
+    return word_hash((-1 - token & (1 << 8 * TAIL) - 1).to_bytes(TAIL, "big")[TAIL - size :], False)
+
+
+class Numbers:
+    """Words' numbers: those of the tree have their leaves', others the next free one when they are met; tokens: what stands for each number in a text.
+
+    Other words are forgotten between calls of `of` where there are REMEMBERED or more; cut: the numbers of parts that are no word's last.
+    """
+
+    def __init__(self, code: Code):
+        self.code, self.first = code, len(code.words.size)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = defaultdict(count(self.first).__next__, self.code.leaf)
+        self.tokens, self.rare, self.cut = np.arange(self.first, dtype=np.int32), [], set()
+
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
+        """The number of each word."""
+        if len(self.rare) >= REMEMBERED:
+            self.forget()
+        before = len(self.known)
+        ids = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64)
+        fresh = list(islice(reversed(self.known), len(self.known) - before))[::-1]
+        if fresh:
+            self.cut.update(k for k, w in enumerate(fresh, len(self.tokens)) if len(w) > LONG_WORD and w[-1] == 10)
+            self.rare += fresh
+            self.tokens = np.concatenate([self.tokens, tokens_of(fresh)])
+        return ids
+
+    def spelled(self, ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words of ids that are not in the tree, in turn, and of each of ids which of them it is (-1: none)."""
+        first = self.first
+        at = np.flatnonzero(ids >= first)
+        found, begin, which = np.unique(ids[at], return_index=True, return_inverse=True)
+        order = np.argsort(begin)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        out = np.full(len(ids), -1)
+        out[at] = place[which]
+        return [self.rare[k - first] for k in found[order].tolist()], out
+
+
 @dataclass
 class Batch:
     """The words of some texts in turn, as decisions in the tree of words."""
 
-    words: list[bytes]  # distinct ones
-    leaves: np.ndarray  # of each distinct word
-    ids: np.ndarray  # of each token, its word
+    ids: np.ndarray  # of each token, its word's number
     node: np.ndarray
     turn: np.ndarray
     pair: np.ndarray  # 64-bit hash of the word before (0 where a text begins) and the node
@@ -254,30 +324,52 @@ class Batch:
     tokens: np.ndarray  # and its tokens
 
 
-def laid(code: Code, units: list[tuple[bool, list[bytes]]], carry: int) -> tuple[Batch, int]:
-    """Units (whether a text begins, its words) as a batch; carry: the hash of the word before the first unit, and after the last."""
-    number: dict[bytes, int] = {}
-    tokens, upto, begins = [], [], []
-    for new, words in units:
-        if new:
-            begins.append(len(tokens))
-        tokens += [number.setdefault(w, len(number)) for w in words]
-        upto.append(len(tokens))
-    distinct, leaf = list(number), code.leaf
-    leaves = np.array([leaf.get(w, 0) for w in distinct], dtype=np.int64)
-    hashes = code.hashes.take(leaves)
-    rare = np.flatnonzero(leaves == 0)
-    hashes[rare] = np.array([word_hash(distinct[k], False) for k in rare.tolist()], dtype=np.uint64)
-    ids = np.array(tokens, dtype=np.int64)
-    before = np.r_[np.uint64(carry), hashes[ids]]
+def laid(code: Code, units: list[tuple[bool, list[bytes]]], carry: int, numbers: Numbers | None = None) -> tuple[Batch, int]:
+    """Units (whether a text begins, its words) as a batch; carry: the hash of the word before the first unit, and after the last; numbers: those of the words, which go on from batch to batch."""
+    numbers = Numbers(code) if numbers is None else numbers
+    ids = numbers.of(chain.from_iterable(words for _, words in units))
+    return placed(code, ids, numbers.tokens.take(ids), [(new, len(words)) for new, words in units], carry)
+
+
+def placed(code: Code, ids: np.ndarray, tokens: np.ndarray, units: list[tuple[bool, int]], carry: int) -> tuple[Batch, int]:
+    """The same from tokens and the units' numbers of them; ids only go with the batch."""
+    upto = np.cumsum([n for _, n in units])
+    leaves = np.maximum(tokens, 0)
+    before = np.empty(len(tokens) + 1, dtype=np.uint64)
+    before[0], before[1:] = carry, code.hashes.take(leaves)
+    rare = np.flatnonzero(tokens < 0)
+    found, which = np.unique(tokens[rare], return_inverse=True)
+    before[rare + 1] = np.array([token_hash(t) for t in found.tolist()], dtype=np.uint64)[which]
     after, before = int(before[-1]), before[:-1]
-    before[begins] = 0
-    place, steps = _walk(code.words, leaves.take(ids))
-    pair = code.words.hashed.take(place)
+    before[[end - n for end, (new, n) in zip(upto.tolist(), units, strict=True) if new]] = 0
+    place, steps = _walk(code.words, leaves)
+    pair = code.words.hashed.take(place, mode="clip")
     pair += np.repeat(before, steps)
-    upto = np.array(upto, dtype=np.int64)
     ends = np.r_[0, np.cumsum(steps)][upto]
-    return Batch(distinct, leaves, ids, code.words.nodes.take(place), code.words.turns.take(place), pair, ends, upto), after
+    return Batch(ids, code.words.nodes.take(place, mode="clip"), code.words.turns.take(place, mode="clip"), pair, ends, upto), after
+
+
+def laid_tokens(code: Code, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, list[tuple[bool, bool]]]]:
+    """Batches of the texts of rows of tokens and units (as `numbered` makes them), and of each of their units whether a text begins and ends; some TOKENS together."""
+    held, size, carry = [], 0, 0
+
+    def made() -> tuple[Batch, list[tuple[bool, bool]]]:
+        nonlocal carry
+        batch, carry = placed(code, np.zeros(0, dtype=np.int64), np.concatenate([t for _, _, t in held]), [(new, len(t)) for new, _, t in held], carry)
+        return batch, [(new, over) for new, over, _ in held]
+
+    for row in rows:
+        for data, sizes in zip(row.column("tokens").to_pylist(), row.column("units").to_pylist(), strict=True):
+            tokens, at = np.frombuffer(data, dtype=np.int32), 0
+            for k, n in enumerate(sizes):
+                held.append((k == 0, k == len(sizes) - 1, tokens[at : at + n]))
+                at += n
+                size += n
+                if size >= TOKENS:
+                    yield made()
+                    held, size = [], 0
+    if held:
+        yield made()
 
 
 def units_of(text: bytes) -> Iterator[tuple[bool, bool, list[bytes]]]:
@@ -314,7 +406,7 @@ class Mixer:
         self.model = model
         self.weights = model.weights[0].copy()
         self.own = np.zeros(len(model.code.logits), dtype=np.float32)
-        self.rows = np.arange(BLOCK) * GATES
+        self.rows = np.arange(BLOCK)
         self.spread = np.zeros(BLOCK * GATES, dtype=np.float32)
         self.refined(model.refine[0])
 
@@ -330,51 +422,56 @@ class Mixer:
         self.weights[:] = self.model.weights[0]
         self.own[:] = 0
 
-    def code(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, turn: np.ndarray, refine: np.ndarray | None = None) -> float:
-        """Natural log of the probability of the turns of some decisions; x: their inputs, the last of which is filled in here; refine: a table that learns."""
-        out, rate = 0.0, np.float32(RATE * UNIT**-2)
+    def code(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, turn: np.ndarray, refine: np.ndarray | None = None, last: bool = False) -> float:
+        """Natural log of the probability of the turns of some decisions; x: their inputs, the last of which is filled in here; refine: a table that learns; last: whether nothing that is learnt in the last block is used after it."""
+        rate = np.float32(RATE * UNIT**-2)
         scale, middle = np.float32((CELLS - 1) / 16), np.float32((CELLS - 1) / 2 + 0.5)
+        row, cells = gate * CELLS, turn * (GATES * CELLS)
+        cells += row
         for a in range(0, len(turn), BLOCK):
             b = slice(a, a + BLOCK)
-            xb, g, place = x[b], gate[b], node[b]
-            there = self.rows[: len(g)] + g
-            seen = self.own.take(place)
+            xb, place, cell = x[b], node[b], cells[b]
+            there = gate[b] * len(place)
+            there += self.rows[: len(place)]
+            seen = self.own.take(place, mode="clip")
             xb[:, -1] = seen
-            z = (xb @ self.weights.T).ravel().take(there)
+            z = (self.weights @ xb.T).ravel().take(there, mode="clip")
             z *= scale
             z += middle
-            cell = np.minimum(np.maximum(z, 0, out=z), CELLS - 1, out=z).astype(np.int64)
-            cell += g * CELLS
+            at = np.minimum(np.maximum(z, 0, out=z), CELLS - 1, out=z).astype(np.int64)
+            cell += at
             if refine is not None:
                 flat = refine.ravel()
-                flat[cell] += REFINE_RATE * (turn[b] - flat.take(cell))
-            cell += turn[b] * (GATES * CELLS)
-            out += float(self.gain.take(cell).sum())
-            error = self.error.take(cell)
-            seen += OWN_RATE * error * np.float32(UNIT)
-            self.own[place] = seen
-            spread = self.spread[: len(g) * GATES]
+                at += row[b]
+                flat[at] += REFINE_RATE * (turn[b] - flat.take(at))
+            if last and a + BLOCK >= len(turn):
+                break
+            error = self.error.take(cell, mode="clip")
+            spread = self.spread[: len(place) * GATES]
             spread[there] = error
-            self.weights += rate * (spread.reshape(-1, GATES).T @ xb)
-            spread[there] = 0
-        return out
+            self.weights += rate * (spread.reshape(GATES, -1) @ xb)
+            spread.fill(0)
+            error *= OWN_RATE * np.float32(UNIT)
+            seen += error
+            self.own[place] = seen
+        return float(self.gain.take(cells).sum())
 
 
 def inputs(model: Model, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each decision in the tree of words: the inputs but for the text's own, the gate, the node, the turn."""
-    pairs = model.tables[PAIRS].take(slots(batch.pair, PAIRS, len(model.tables[PAIRS]).bit_length() - 1))
-    x = np.empty((len(pairs), 3), dtype=np.float32)
-    x[:, 0] = model.code.logits.take(batch.node)
+    pairs = model.tables[PAIRS].take(slots(batch.pair, PAIRS, len(model.tables[PAIRS]).bit_length() - 1), mode="clip")
+    x = np.empty((3, len(pairs)), dtype=np.float32).T  # an input's values lie together
+    x[:, 0] = model.code.logits.take(batch.node, mode="clip")
     x[:, 1] = pairs
-    return x, _GATE.take(pairs.view(np.uint8)), batch.node, batch.turn.astype(np.int64)
+    return x, _GATE.take(pairs.view(np.uint8), mode="clip"), batch.node, batch.turn.astype(np.int64)
 
 
 def spellings(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each decision that spells words: the word, the inputs, the gate, the turn."""
     at, turn, contexts = spelled(model.code, words)
-    x = np.empty((len(at), len(ORDERS)), dtype=np.float32)
+    x = np.empty((len(ORDERS), len(at)), dtype=np.float32).T
     for k, hashed in enumerate(contexts):
-        found = model.tables[k].take(slots(hashed, k, len(model.tables[k]).bit_length() - 1))
+        found = model.tables[k].take(slots(hashed, k, len(model.tables[k]).bit_length() - 1), mode="clip")
         x[:, k] = found
     return at, x, _GATE.take(found.view(np.uint8)), turn.astype(np.int64)
 
@@ -384,10 +481,15 @@ def spelling_scores(model: Model, words: list[bytes]) -> np.ndarray:
     if not words:
         return np.zeros(0)
     at, x, gate, turn = spellings(model, words)
-    z = (x @ model.weights[1].T).ravel().take(np.arange(len(at)) * GATES + gate)
-    cell = cells_of(z)
-    both = (model.refine[1].ravel().take(gate * CELLS + cell) + 1 / (1 + np.exp(8 - cell * (16 / (CELLS - 1))))) / 2
-    return np.bincount(at, np.log(np.where(turn == 1, both, 1 - both)), len(words))
+    there = gate * len(at)
+    there += np.arange(len(at))
+    cell = cells_of((model.weights[1] @ x.T).ravel().take(there, mode="clip"))
+    turn *= GATES
+    turn += gate
+    turn *= CELLS
+    cell += turn
+    both = (model.refine[1] + 1 / (1 + np.exp(-np.linspace(-8, 8, CELLS)))) / 2
+    return np.bincount(at, np.log(np.stack([1 - both, both])).ravel().take(cell, mode="clip"), len(words))
 
 
 def word_spellings(model: Model, words: list[bytes]) -> np.ndarray:
@@ -411,31 +513,46 @@ def word_spellings(model: Model, words: list[bytes]) -> np.ndarray:
 
 def text_scores(model: Model, texts: Iterator[bytes], spell: bool = True) -> list[float]:
     """log10 of the probability of each text; spell: with the bytes of words that are not in the tree."""
-    out, now, carry, mixer = [], 0.0, 0, Mixer(model)
+    out, now, carry, mixer, numbers = [], 0.0, 0, Mixer(model), Numbers(model.code)
     for units in batches_of(texts):
-        batch, carry = laid(model.code, [(new, words) for new, _, words in units], carry)
+        batch, carry = laid(model.code, [(new, words) for new, _, words in units], carry, numbers)
         upto = np.zeros(len(batch.ids) + 1)
         if spell:
-            rare, bytes_of = np.flatnonzero(batch.leaves == 0), np.zeros(len(batch.words))
-            bytes_of[rare] = spelling_scores(model, [batch.words[k] for k in rare.tolist()])
-            np.cumsum(bytes_of[batch.ids], out=upto[1:])
+            rare, which = numbers.spelled(batch.ids)
+            np.cumsum(np.r_[spelling_scores(model, rare), 0][which], out=upto[1:])
         made, at, token = inputs(model, batch), 0, 0
         for (new, over, _), end, tokens in zip(units, batch.ends.tolist(), batch.tokens.tolist(), strict=True):
             if new:
                 now = 0.0
                 mixer.begin()
-            now += mixer.code(*(m[at:end] for m in made)) + upto[tokens] - upto[token]
+            now += mixer.code(*(m[at:end] for m in made), last=over) + upto[tokens] - upto[token]
             at, token = end, tokens
             if over:
                 out.append(float(now) / math.log(10))
     return out
 
 
+def token_scores(model: Model, rows: Iterator[pa.RecordBatch]) -> list[float]:
+    """text_scores without spelling, of rows of tokens and units."""
+    out, now, mixer = [], 0.0, Mixer(model)
+    for batch, units in laid_tokens(model.code, rows):
+        made, at = inputs(model, batch), 0
+        for (new, over), end in zip(units, batch.ends.tolist(), strict=True):
+            if new:
+                now = 0.0
+                mixer.begin()
+            now += mixer.code(*(m[at:end] for m in made), last=over)
+            at = end
+            if over:
+                out.append(now / math.log(10))
+    return out
+
+
 def learn(model: Model, texts: Iterator[bytes]) -> int:
     """Goes through texts online, from one to the next; the model's weights and refinements become what was learnt. How many decisions there were."""
-    mixer, carry, n = Mixer(model), 0, 0
+    mixer, carry, n, numbers = Mixer(model), 0, 0, Numbers(model.code)
     for units in batches_of(texts):
-        batch, carry = laid(model.code, [(new, words) for new, _, words in units], carry)
+        batch, carry = laid(model.code, [(new, words) for new, _, words in units], carry, numbers)
         made, at = inputs(model, batch), 0
         for (new, _, _), end in zip(units, batch.ends.tolist(), strict=True):
             if new:
@@ -443,12 +560,12 @@ def learn(model: Model, texts: Iterator[bytes]) -> int:
             mixer.code(*(m[at:end] for m in made), refine=model.refine[0])
             at = end
         n += at
-        rare = [batch.words[k] for k in np.flatnonzero(batch.leaves == 0).tolist()]
+        rare, _ = numbers.spelled(batch.ids)
         if rare:
             _, x, gate, turn = spellings(model, rare)
             for a in range(0, len(turn), BLOCK):
                 b = slice(a, a + BLOCK)
-                z = (x[b] @ model.weights[1].T).ravel().take(mixer.rows[: len(turn[b])] + gate[b])
+                z = (x[b] @ model.weights[1].T).ravel().take(mixer.rows[: len(turn[b])] * GATES + gate[b])
                 cell = gate[b] * CELLS + cells_of(z)
                 flat = model.refine[1].ravel()
                 flat[cell] += REFINE_RATE * (turn[b] - flat.take(cell))
@@ -470,9 +587,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             for words in windows(text):
                 into.update(words)
             into[b""] += 1
-        every = list(counts[0] | counts[1] | counts[2])
-        tuned = [counts[2][w] for w in every]
-        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([counts[1][w] + t for w, t in zip(every, tuned, strict=True)], pa.int64()), pa.array(tuned, pa.int64())], ["word", "c", "t"])
+        every = list(chain(*counts))
+        sizes = [len(c) for c in counts]
+        n = np.fromiter(chain.from_iterable(c.values() for c in counts), dtype=np.int64, count=len(every))
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(n * np.repeat([0, 1, 1], sizes)), pa.array(n * np.repeat([0, 0, 1], sizes))], ["word", "c", "t"])
 
     return map_slices(docs, each, "word binary, c long, t long", "text").groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
@@ -509,6 +627,69 @@ def code_of(words: DataFrame, top: list[tuple[bytes, int]], total: int) -> Code:
     return Code(tree, code_tree(byte_counts(rare)), {b"": 1, **{w: k for k, (w, _) in enumerate(own, 2)}}, logits)
 
 
+def numbered(docs: DataFrame, code: Code, at_hand: dict[bytes, float]) -> DataFrame:
+    """docs with tokens and units (32-bit tokens of the text, the end among them, and how many each unit has), n_tokens, n_bytes, n_known and base of the words at hand, and rare (the others, and how often).
+
+    at_hand: words of the tree, the end among them, with the logs of their base; a text's words are split and looked up here only.
+    """
+    names = [b"", *code.leaf]
+    logs = np.full(len(code.words.size) + 1, np.nan)
+    logs[[code.leaf[w] for w in at_hand]] = list(at_hand.values())
+    kept = [c for c in docs.columns if c != "text"]
+    sent = docs.sparkSession.sparkContext.broadcast((code, names, logs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, names, logs = sent.value
+        numbers = Numbers(code)
+        for batch in in_slices(batches, "text"):
+            texts = utf8(batch, "text").to_pylist()
+            n, held, known, base = (np.zeros(len(texts), dtype=t) for t in (np.int64, np.int64, np.int64, np.float64))
+            tokens: list[list[bytes]] = [[] for _ in texts]
+            sizes: list[list[int]] = [[] for _ in texts]
+            rare: list[tuple[list[bytes], list[int]]] = [([], []) for _ in texts]
+            parted, now = set(), -1
+            for units in batches_of(iter(texts)):
+                ids = numbers.of(chain.from_iterable(words for _, _, words in units))
+                made, of, at = numbers.tokens.take(ids), [], 0
+                for new, _, words in units:
+                    now += new
+                    of.append(now)
+                    tokens[now].append(made[at : at + len(words)].tobytes())
+                    sizes[now].append(len(words))
+                    held[now] += sum(map(len, words)) + len(words)
+                    at += len(words)
+                of = np.repeat(of, [len(words) for _, _, words in units])
+                if numbers.cut:
+                    parted.update(of[np.isin(ids, list(numbers.cut))].tolist())
+                log = logs.take(np.minimum(ids, numbers.first))
+                rest = np.isnan(log)
+                log[rest] = 0
+                n += np.bincount(of, minlength=len(texts))
+                known += np.bincount(of[~rest], minlength=len(texts))
+                base += np.bincount(of, log, len(texts))
+                key, times = np.unique(of[rest] << 40 | ids[rest], return_counts=True)
+                for k, number, t in zip((key >> 40).tolist(), (key & (1 << 40) - 1).tolist(), times.tolist(), strict=True):
+                    rare[k][0].append(names[number] if number < numbers.first else numbers.rare[number - numbers.first])
+                    rare[k][1].append(t)
+            for k in parted:  # words in parts: counted whole
+                counts: Counter[bytes] = Counter()
+                for some in windows(texts[k]):
+                    counts.update(some)
+                counts[b""] += 1
+                n[k], held[k] = counts.total(), sum((len(w) + 1) * c for w, c in counts.items())
+                log = {w: logs[code.leaf[w]] for w in counts if w in code.leaf and not math.isnan(logs[code.leaf[w]])}
+                known[k], base[k] = sum(counts[w] for w in log), sum(counts[w] * x for w, x in log.items())
+                rare[k] = ([w for w in counts if w not in log], [c for w, c in counts.items() if w not in log])
+            words, times = ([x for r in rare for x in r[k]] for k in (0, 1))
+            offsets = pa.array(np.r_[0, np.cumsum([len(r[0]) for r in rare])], pa.int32())
+            found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
+            columns = [pa.array([b"".join(t) for t in tokens], pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(n), pa.array(held), pa.array(known), pa.array(base), found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "tokens", "units", "n_tokens", "n_bytes", "n_known", "base", "rare"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    return docs.select(*kept, "text").mapInArrow(run, kinds + "tokens binary, units array<int>, n_tokens long, n_bytes long, n_known long, base double, rare array<struct<word: binary, times: long>>")
+
+
 def _pages(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """k, page, cells of (slot, turn) counts, in the least whole type that holds a page's counts."""
     for k, table in tables.items():
@@ -528,8 +709,8 @@ def _count_bytes(words: DataFrame, column: str, code: Code, bits: list[int], tas
             for at in range(0, batch.num_rows, 1 << 13):
                 rows = batch.slice(at, 1 << 13)
                 made = [(p, c) for w, c in zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True) if w and w not in code.leaf for p in shortened([w])]
-                for k in range(0, len(made), 1 << 13):
-                    parts, c = zip(*made[k : k + (1 << 13)], strict=True)
+                for k in range(0, len(made), 1 << 11):
+                    parts, c = zip(*made[k : k + (1 << 11)], strict=True)
                     of, turn, contexts = spelled(code, list(parts))
                     weight = np.array(c, dtype=np.float32)[of]
                     for j, hashed in enumerate(contexts):
@@ -537,23 +718,23 @@ def _count_bytes(words: DataFrame, column: str, code: Code, bits: list[int], tas
         yield from _pages(tables)
 
     some = words.where(F.col(column) > 0).select("word", F.col(column).alias("c"))
-    return some.repartition(tasks).mapInArrow(run, "k int, page int, cells binary")
+    return some.coalesce(tasks).mapInArrow(run, "k int, page int, cells binary")
 
 
 def _count_pairs(docs: DataFrame, code: Code, bits: list[int], tasks: int) -> DataFrame:
-    """Pages of the word-pair table, from texts."""
+    """Pages of the word-pair table, from texts (numbered here, if they are not)."""
+    docs = docs if "tokens" in docs.columns else numbered(docs, code, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, carry = np.zeros(2 << bits[PAIRS], dtype=np.uint32), 0
-        for units in batches_of(text for batch in batches for text in map(bytes, utf8(batch, "text").to_pylist())):
-            batch, carry = laid(code, [(new, words) for new, _, words in units], carry)
+        table = np.zeros(2 << bits[PAIRS], dtype=np.uint32)
+        for batch, _ in laid_tokens(code, batches):
             slot = slots(batch.pair, PAIRS, bits[PAIRS])
             slot *= 2
             slot += batch.turn
             np.add.at(table, slot, np.uint32(1))
         yield from _pages({PAIRS: table})
 
-    return docs.select("text").coalesce(tasks).mapInArrow(run, "k int, page int, cells binary")
+    return docs.select("tokens", "units").coalesce(tasks).mapInArrow(run, "k int, page int, cells binary")
 
 
 def _summed(pages: DataFrame) -> DataFrame:
@@ -584,16 +765,16 @@ def _summed(pages: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "k int, page int, part binary, whole binary")
 
 
-def fit(docs: DataFrame, words: DataFrame, code: Code, distinct: int, size: int) -> Model:
-    """The model; docs: text, learn, tune; words: word, c, t; size: bytes to learn from."""
+def fit(docs: DataFrame, words: DataFrame, code: Code, distinct: int, size: int, tokens: DataFrame) -> Model:
+    """The model; docs: text, learn, tune; words: word, c, t; size: bytes to learn from; tokens: docs as `numbered` has them."""
     grown = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, distinct))) + 1))
     bits = [*(b or grown for _, b in ORDERS), grown]
     tasks, by_words = -(-size // TASK_BYTES) + 1, -(-distinct // TASK_WORDS) + 1
     parts = [
         _count_bytes(words.withColumn("c", F.col("c") - F.col("t")), "c", code, bits, by_words).withColumn("tune", F.lit(False)),
         _count_bytes(words, "t", code, bits, -(-by_words // 4)).withColumn("tune", F.lit(True)),
-        _count_pairs(docs.where("learn and not tune"), code, bits, tasks).withColumn("tune", F.lit(False)),
-        _count_pairs(docs.where("learn and tune"), code, bits, -(-tasks // TUNE)).withColumn("tune", F.lit(True)),
+        _count_pairs(tokens.where("learn and not tune"), code, bits, tasks).withColumn("tune", F.lit(False)),
+        _count_pairs(tokens.where("learn and tune"), code, bits, -(-tasks // TUNE)).withColumn("tune", F.lit(True)),
     ]
     pages = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     part, whole = ([np.zeros(1 << b, dtype=np.int8) for b in bits] for _ in range(2))
@@ -635,52 +816,32 @@ def score(docs: DataFrame, allowed: F.Column) -> DataFrame:
     distinct, total, size = words.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0))).first()
     found = words.orderBy(F.col("word") != b"", F.desc("c"), "word").limit(max(FREQUENT, VOCABULARY + 1)).select("word", "c").toArrow()
     top = list(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
-    model = fit(marked, words, code_of(words, top, total), distinct, size)
+    code = code_of(words, top, total)
     bottom = math.log10(total + 0.1 * (distinct + 1)) if distinct else math.log10(0.1)
-    at_hand = {w: math.log10(c + 0.1) - bottom for w, c in top[:FREQUENT] if w and c > 0 and w in model.code.leaf}
     ends = sum(c for w, c in top if not w)
-    end = math.log10(ends + 0.1) - bottom
-    sent = spark.sparkContext.broadcast((model, at_hand))
+    at_hand = {w: math.log10(c + 0.1) - bottom for w, c in top[:FREQUENT] if w and c > 0 and w in code.leaf} | {b"": math.log10(ends + 0.1) - bottom}
+    tokens = written(numbered(marked, code, at_hand).withColumn("rid", F.monotonically_increasing_id()), "lm-tokens")
+    model = fit(marked, words, code, distinct, size, tokens)
+    sent = spark.sparkContext.broadcast(model)
+    kept = {"rid": "long", "doc_id": "long", "n_tokens": "long", "n_bytes": "long", "n_known": "long", "base": "double"}
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, at_hand = sent.value
-        texts = utf8(batch, "text").to_pylist()
-        words: list[bytes] = []
-        times: list[int] = []
-        kinds, held = np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            counts: Counter[bytes] = Counter()
-            for some in windows(text):
-                counts.update(some)
-                held[k] += sum(map(len, some)) + len(some)
-            words += counts
-            times += counts.values()
-            kinds[k] = len(counts)
-        of, n = np.repeat(np.arange(len(texts)), kinds), np.array(times, dtype=np.int64)
-        logs = np.array(list(map(at_hand.get, words)), dtype=np.float64)
-        rest = np.isnan(logs)
-        total_of = [np.bincount(of, w, len(texts)) for w in (n, np.where(rest, 0, n), np.where(rest, 0, logs) * n)]
-        fields = [pa.array([words[k] for k in np.flatnonzero(rest).tolist()], pa.binary()), pa.array(n[rest])]
-        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of[rest], minlength=len(texts)))], pa.int32())
-        rare = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["word", "times"]))
-        columns = [pa.array(total_of[0].astype(np.int64) + 1), pa.array(held), pa.array(total_of[1].astype(np.int64) + (ends > 0)), pa.array(total_of[2] + end)]
-        scores = pa.array(text_scores(model, iter(texts), spell=False), pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, rare, scores], ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "rare", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(token_scores(sent.value, iter([batch])), pa.float64())], [*kept, "score"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs = word_spellings(sent.value[0], batch.column("word").to_pylist()) / math.log(10)
+            logs = word_spellings(sent.value, batch.column("word").to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], ["word", "c", "spelling"])
 
-    schema = "doc_id long, n_tokens long, n_bytes long, n_known long, base double, rare array<struct<word: binary, times: long>>, score double"
-    scored = written(map_slices(marked.select("doc_id", "text"), each, schema, "text").withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
+    schema = ", ".join(f"{c} {kind}" for c, kind in (kept | {"score": "double"}).items())
+    scored = written(map_slices(tokens.select(*kept, "tokens", "units"), each, schema, "tokens"), "lm-scored")
     each_word = words.where("word <> X''").select("word", "c").mapInArrow(spell, "word binary, c long, spelling double")
-    asked = scored.select("rid", F.inline("rare")).join(each_word, "word")
+    asked = tokens.select("rid", F.inline("rare")).join(each_word, "word")
     more = asked.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.col("c") + 0.1) - bottom)).alias("rest"), F.sum(F.col("times") * F.col("spelling")).alias("spelt")
     )
-    whole = scored.drop("rare").join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("spelt", F.lit(0.0)))
+    whole = scored.join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce("spelt", F.lit(0.0)))
     return whole.select(
-        "doc_id", "n_tokens", "n_bytes", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", "n_bytes", (F.col("n_known") - int(not ends) + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
