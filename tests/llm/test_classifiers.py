@@ -78,6 +78,23 @@ def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
     assert np.mean([b / below[-1] for b, r in zip(below, found, strict=True) if r.toxic]) > 0.9
 
 
+def test_word_hashes_of_long_texts_come_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{k}" for k in range(999)], k=i * 300)), "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(text_cnn, "STEPS", 20)
+    whole = text_cnn.fit(docs, labels, "toxic", F.lit(True))
+    conf, name = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(name, "1g")
+    conf.set(name, "2m")  # of 6 MB
+    monkeypatch.setattr(text_cnn, "SENT", 1 << 18, raising=False)
+    try:
+        net = text_cnn.fit(docs, labels, "toxic", F.lit(True))
+    finally:
+        conf.set(name, before)
+    assert (text_cnn._flat(net) == text_cnn._flat(whole)).all() and net.thresholds == whole.thresholds and net.scale == whole.scale
+
+
 def test_words_are_remembered_and_pooled_as_by_plain_loops(monkeypatch):
     def plain(text):
         words = [w.strip(b".,;:!?\"'()[]").decode() for w in text.lower().split()]

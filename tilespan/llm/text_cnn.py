@@ -10,7 +10,7 @@ goes on with Adam over its rows, weighted so that both classes count alike, and
 hold them; an embedding row counts if LEAST_TEXTS of all texts hold it. Margins of all rows kept out are counted in bins of 1 / BINS for the
 calibration. Language is no input of a score. Labelled rows without a label or a
 doc_id are left out, and of several labels for one doc_id the largest counts, of several texts the least. Only the word hashes of SAMPLE rows, a fixed number of
-weights and the counts of margins come to the driver.
+weights and the counts of margins come to the driver; the word hashes, whose bytes grow with the texts, come SENT bytes at a time and lie in a temporary file there.
 
 Defined cases: a null text is the empty text and is scored as such; a language without enough labelled rows, or
 null, has the threshold of all; rows that repeat a doc_id are scored each by itself; an empty table gives an empty
@@ -20,6 +20,7 @@ the name of one that it adds.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ START = 4000
 RATES = (0.01, 0.004)
 BINS = 64
 HELD = 0.2
+#: Bytes of word hashes, or one text's, that come to the driver at once.
+SENT = 1 << 24
 BUCKETS = 1 << 18
 #: Texts in which an embedding row must occur; others stay zero, as nothing general is learnt of them.
 LEAST_TEXTS = 3
@@ -345,6 +348,27 @@ def _counted(rows: DataFrame, net: Network) -> pa.Table:
     return found.groupBy("lang", (F.col("label") > 0).cast("int").alias("label"), "bin").agg(F.count("*").alias("n")).toArrow().sort_by([("label", "ascending"), ("bin", "ascending"), ("lang", "ascending")])
 
 
+def _fetched(rows: DataFrame) -> tuple[np.ndarray, list[str | None], list[np.ndarray]]:
+    """label, lang and embedding rows of each row (doc_id, label, lang, ids), by doc_id; the embedding rows lie in a temporary file, whatever their size."""
+    rows = written(rows, "start")
+    about = rows.select("doc_id", "label", "lang", F.octet_length("ids").cast("long").alias("size")).toArrow().sort_by("doc_id")
+    doc_id, ends = about["doc_id"].to_numpy(), np.cumsum(about["size"].to_numpy())
+    if len(ends) and ends[-1] > SENT:
+        rows = written(rows.orderBy("doc_id"), "start-ordered")  # so that a range of them is read alone
+    with tempfile.TemporaryFile() as file:
+        first = 0
+        while first < len(doc_id):
+            sent = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, sent + SENT, side="right")))
+            some = rows.where(F.col("doc_id").between(int(doc_id[first]), int(doc_id[last - 1]))).select("doc_id", "ids").toArrow().sort_by("doc_id")
+            for x in some["ids"]:
+                file.write(x.as_buffer())
+            first = last
+        file.flush()
+        every = np.asarray(np.memmap(file, np.int32, "r")) if len(ends) and ends[-1] else np.zeros(0, dtype=np.int32)
+    return about["label"].to_numpy(), about["lang"].to_pylist(), [x.reshape(-1, PARTS) for x in np.split(every, ends[:-1] // 4)] if len(ends) else []
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str, allowed: F.Column, most: int = SAMPLE) -> Network:
     """A network for labels[column]; allowed: which rows of labels may be learnt from; most: rows that the driver itself trains on."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & allowed)
@@ -357,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, allowed: F.Column, most
     kept_out = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1000)) < int(HELD * 1000)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pa.array([word_ids(t).ravel() for t in utf8(batch, "text").to_pylist()], pa.list_(pa.int32()))
+        ids = pa.array([word_ids(t).tobytes() for t in utf8(batch, "text").to_pylist()], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("lang"), ids], ["doc_id", "label", "lang", "ids"])
 
     begin = texts
@@ -366,17 +390,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, allowed: F.Column, most
         rows = texts.where(~kept_out).select("doc_id", "label")
         chosen = rows.where("label > 0").orderBy(*first).limit(some).union(rows.where("label <= 0").orderBy(*first).limit(some)).select("doc_id")
         begin = texts.join(F.broadcast(chosen), "doc_id", "left_semi")  # START numbers at most
-    rows = map_slices(begin, each, "doc_id long, label int, lang string, ids array<int>", "text").toArrow().sort_by("doc_id")
-    y = (rows["label"].to_numpy() > 0).astype(np.float32)
+    label, langs, ids = _fetched(map_slices(begin, each, "doc_id long, label int, lang string, ids binary", "text"))
+    y = (label > 0).astype(np.float32)
     if not len(y) or len(share) < 2 or y.min() == y.max():
         share_1 = share.get(1, 0) / max(1, sum(share.values()))
         net = train([word_ids(b"")], np.zeros(1, dtype=np.float32))
         net.out[:] = 0
         net.base, net.scale, net.shift = 0.0, 1.0, float(np.log((share_1 + 1e-6) / (1 - share_1 + 1e-6)))
         return net
-    ids = [np.asarray(x, dtype=np.int32).reshape(-1, PARTS) for x in rows["ids"].to_numpy()]
     if not large:
-        langs = rows["lang"].to_pylist()
         order = np.random.default_rng(1).permutation(len(y))
         held, rest = order[: max(1, int(HELD * len(y)))], order[max(1, int(HELD * len(y))) :]
         net = train([ids[i] for i in rest], y[rest])
