@@ -3,19 +3,20 @@
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, and what one
 stage returns is written as Parquet and read again as the next one's docs. The classifiers learn from the labels
 of sf_dir; the last stage returns packed pieces, the others documents with all their columns. The stages set the
-session to remove a query's shuffle files when it ends, so that those of earlier stages are not on disk in later ones.
+session to remove a query's shuffle files when it ends, so that those of earlier stages are not on disk in later ones;
+run deletes what a stage has read and what it has written on its way when its result is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespan.llm import exact_dedup, gam, near_text, packing, text_cnn
-from tilespan.llm.common import REMOVE_SHUFFLES, remainder, unused, written
+from tilespan.llm.common import REMOVE_SHUFFLES, alone, remainder, removed, unused
 
 #: Documents of a lower quality score go.
 KEEP_QUALITY = 0.5
@@ -76,7 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents of sf_dir."""
-    docs = _read(spark, sf_dir, "documents")
+    docs, last = _read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = alone(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        removed(*last)
+        last = [docs]
     return docs

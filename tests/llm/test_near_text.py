@@ -116,3 +116,47 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not shuffles() - before
     assert found.count() == 100 and spark.conf.get(REMOVE_SHUFFLES) == setting
+
+
+def test_fine_histograms_bound_what_sets_share_and_tell_long_sets_apart():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (40, 50), (3000, 2500), (5000, 4000), (40000, 33000)):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        a, b = np.sort(rng.choice(pool, n, replace=False)), np.sort(rng.choice(pool, min(m, len(pool)), replace=False))
+        fine = near_text.finely_shared(near_text.fine_histogram(a), near_text.fine_histogram(b))
+        assert fine >= len(np.intersect1d(a, b))
+        if n >= 3000:  # they share a half, and histograms of 64 cells would have their sets compared
+            bars = [near_text.histogram(h).view(np.uint8) for h in (a, b)]
+            assert fine < 0.8 * (n + m - fine) and near_text.most_shared(bars[0], bars[1][None])[0] > fine
+    wide = np.arange(300, dtype=np.uint64) << np.uint64(20)
+    assert near_text.finely_shared(*2 * [near_text.fine_histogram(wide)]) == np.inf
+
+
+def test_rounds_and_what_is_left_on_disk(spark, monkeypatch):
+    """Many rounds give the same components; of all tables written on the way one stays, as the result reads it."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    monkeypatch.setattr(near_text, "ROUND", 20_000)
+    monkeypatch.setattr(near_text, "PART", 0.1)
+    monkeypatch.setattr(near_text, "CHUNK", 2000)
+    assert near_text._rounds(10**6, 10**5) > 10
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*shared.iterdir()}
+    kept = near_text.deduplicate(docs)
+    assert [p.name.split("-")[0] for p in {*shared.iterdir()} - before] == ["rooted"]
+    assert {r.doc_id for r in kept.collect()} == {d for d, c in map(eval, want) if d == c}
+    assert sorted(repr(tuple(r)) for r in near_text.components(docs).collect()) == want
+
+
+def test_long_unlike_texts_that_meet_do_not_have_their_sets_compared(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=60)
+    rows = [(i, " ".join([*passage, *rng.choices(words, k=2500)])) for i in range(12)]
+    counts, compared = {}, near_text._compared
+    monkeypatch.setattr(near_text, "COMMON", 0)
+    monkeypatch.setattr(near_text, "_compared", lambda pairs, values, alike, name: counts.update({name: pairs.count()}) or compared(pairs, values, alike, name))
+    found = near_text.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i) for i in range(12)]
+    assert counts["near-pairs"] > 0 and counts["missed"] == 0

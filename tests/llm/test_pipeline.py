@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tilespan.llm import packing
+from tilespan.llm.common import written
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +41,16 @@ def test_stages(spark):
     pieces = stages["packing"](spark, spark.createDataFrame(before, docs.schema), SF).collect()
     check_packing(pieces, [(r.doc_id, r.text) for r in before], packing.CAPACITY, Tokenizer.from_file(P.path(packing.VOCABULARY)))
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    def one(spark, docs, sf_dir):
+        return written(docs.where("n % 2 = 0"), "half").groupBy("n").count().select("n")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", one), ("two", one), ("three", one)])
+    spark.range(10).selectExpr("id AS n").write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*shared.iterdir()}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [p.name.rsplit("-", 1)[0] for p in {*shared.iterdir()} - before] == ["stage-three"]
+    assert sorted(r.n for r in out.collect()) == [0, 2, 4, 6, 8]

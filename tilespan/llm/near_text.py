@@ -9,7 +9,9 @@ texts are already known to be linked. Verified links make the components.
 What bands and fingerprints miss is found exactly: sets of the similarity share one of their first shingles in any
 order that all sets follow (as many as may differ, and one more). The order is by hash, but the COMMON shingles that a
 sample has most often come last, so that few sets meet in one. Nodes that meet so, are not yet in one component and
-are near enough in size and place (`_missed`) are verified pair by pair.
+are near enough in size and place (`_missed`) are verified pair by pair, where histograms as fine as their sets are large
+leave it open. Sets move in rounds, and tables go when what was made of them is written, so that the disk held does not
+grow with the number of pairs.
 
 Texts with the same shingle set are one node. Large buckets and clusters are dealt into pairs of chunks.
 
@@ -21,7 +23,7 @@ rows that repeat both, one stays; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespan.llm.common import connected, map_slices, utf8, written
+from tilespan.llm.common import alone, appended, connected, map_slices, removed, utf8, written
 from tilespan.llm.simhash import bucket_links, dealt_buckets, one_of_each, runs, whole_groups
 
 WIDTH = 5
@@ -45,6 +47,11 @@ SAMPLE = 20_000
 COMMON = 65_536
 #: Longs that hold the histogram of a shingle set.
 CELLS = 8
+#: Shingles to a cell of a fine histogram, at most.
+FINE = 4
+#: Bytes that a round may move for pairs or clusters, if that is more than PART of the bytes of all sets there, each counted once.
+ROUND = 1 << 28
+PART = 0.25
 _TURNS = np.array([xxhash.xxh64_intdigest(b"turn %d" % k) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
 
 
@@ -72,6 +79,24 @@ def histogram(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(n, 255).astype(np.uint8).view(np.int64)
 
 
+def fine_histogram(hashes: np.ndarray) -> bytes:
+    """How many hashes have each rest by 64, or by twice that so often that FINE come to a cell at most, a byte each, 255 standing for that or more."""
+    cells = 64
+    while cells * FINE < len(hashes):
+        cells *= 2
+    return np.minimum(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def finely_shared(a: bytes, b: bytes) -> float:
+    """At most how many hashes two sets share, by fine histograms; infinite where one holds 255 or more of a rest."""
+    one, other = (np.frombuffer(x, dtype=np.uint8) for x in (a, b))
+    if one.max() == 255 or other.max() == 255:
+        return np.inf
+    cells = min(len(one), len(other))
+    one, other = (x.reshape(-1, cells).sum(axis=0, dtype=np.int64) for x in (one, other))
+    return int(np.minimum(one, other).sum())
+
+
 def most_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """At most how many hashes a set shares with each of others, by histograms as bytes; infinite where both hold 255 or more of a rest."""
     loose = ((others == 255) & (one == 255)).any(axis=1)
@@ -109,11 +134,11 @@ def leading(hashes: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarr
 
 
 def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, sha (of the text), same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles), cells (its histogram)."""
+    """doc_id, sha (of the text), same (a 128-bit hash of the shingle set), size, fp, keys, first (its leading shingles), cells and fine (its histograms)."""
     sent = docs.sparkSession.sparkContext.broadcast(common(docs, width))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, fp, keys, first, cells = [], [], [], [], [], []
+        same, size, fp, keys, first, cells, fine = [], [], [], [], [], [], []
         for text in utf8(batch, "text").to_pylist():
             h = shingles(text, width)
             same.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -122,12 +147,13 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             keys.append(bands(h).view(np.int64))
             first.append(leading(h, sent.value, similarity).view(np.int64))
             cells.append(histogram(h))
+            fine.append(fine_histogram(h))
         longs = pa.list_(pa.int64())
-        columns = [batch.column("doc_id"), batch.column("sha"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs), pa.array(cells, longs)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "same", "size", "fp", "keys", "first", "cells"])
+        columns = [batch.column("doc_id"), batch.column("sha"), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(keys, longs), pa.array(first, longs), pa.array(cells, longs), pa.array(fine, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "same", "size", "fp", "keys", "first", "cells", "fine"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return map_slices(source, each, "doc_id long, sha string, same binary, size long, fp long, keys array<long>, first array<long>, cells array<long>", "text")
+    return map_slices(source, each, "doc_id long, sha string, same binary, size long, fp long, keys array<long>, first array<long>, cells array<long>, fine binary", "text")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -180,22 +206,44 @@ def verified(node: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarit
     return left, right
 
 
-def _verified_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: verified links; members: node, root, doc_id (of a document that has the node's set), same, size, fp."""
-    clusters = members.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
-    placed = members.join(clusters, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    wanted = placed.select(F.col("doc_id").alias("_id"), "same", "node", "root", "fp", "parts", "mine")
+def _rounds(moved: int | None, once: int | None) -> int:
+    """In how many rounds bytes are moved, of sets that have `once` bytes."""
+    return max(1, math.ceil((moved or 0) / max(ROUND, PART * (once or 0))))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted without its doc_id, with the texts of docs that have the doc_id, written: the texts move once, not with what is made of them."""
+    named = wanted.withColumnRenamed("doc_id", "_id")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("doc_id", "_id"), "texts")
+
+
+def _sets(texts: DataFrame, width: int, names: list[str], schema: str) -> DataFrame:
+    """names and hashes of the texts that have the shingle set `same`."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingles(t, width) for t in utf8(batch, "text").to_pylist()]
-        keep = [k for k, (h, same) in enumerate(zip(made, batch.column("same").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(h.tobytes()) == same]
-        columns = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "root", "fp", "parts", "mine")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([made[k].tobytes() for k in keep], pa.binary())], ["node", "root", "fp", "parts", "mine", "hashes"])
+        made = [shingles(t, width).tobytes() for t in utf8(batch, "text").to_pylist()]
+        keep = [k for k, (h, same) in enumerate(zip(made, batch.column("same").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(h) == same]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in names), pa.array([made[k] for k in keep], pa.binary())], [*names, "hashes"])
+
+    return map_slices(texts.select(*names, "same", "text"), sets, f"{schema}, hashes binary", "text")
+
+
+def _verified_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: verified links; members: node, root, doc_id (of a document that has the node's set), same, size, fp.
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("doc_id", "_id")
-    rows = map_slices(texts, sets, "node long, root long, fp long, parts int, mine int, hashes binary", "text")
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("cell", (F.least("mine", "other") * 65536 + F.greatest("mine", "other")).cast("long"))
-    dealt = cells.select("root", "cell", "node", "fp", "hashes").repartition(F.col("root"), F.col("cell")).sortWithinPartitions("root", "cell", "node")
+    A set goes to each cell (pair of chunks of its cluster) that it is in; cells go in rounds.
+    """
+    clusters = members.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
+    placed = written(members.join(clusters, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
+    once, moved = placed.agg(F.sum("size") * 8, F.sum(F.col("size") * F.col("parts")) * 8).first()
+    rounds = _rounds(moved, once)
+    texts = _texts(docs, placed.select("doc_id", "same", "node", "root", "fp", "parts", "mine"))
+
+    def dealt(k: int) -> DataFrame:
+        cell = lambda other: (F.least("mine", other) * 65536 + F.greatest("mine", other)).cast("long")
+        mine = F.filter(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell), lambda c: F.pmod(F.xxhash64("root", c), F.lit(rounds)) == k)
+        rows = _sets(texts.withColumn("cells", mine).where(F.size("cells") > 0), width, ["node", "root", "fp", "cells"], "node long, root long, fp long, cells array<long>")
+        return rows.select("root", F.explode("cells").alias("cell"), "node", "fp", "hashes").repartition(F.col("root"), F.col("cell")).sortWithinPartitions("root", "cell", "node")
 
     def check(group: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
         unique = {node: (fp, hashes) for node, fp, hashes in group}  # a node comes again where its doc_id does
@@ -221,19 +269,43 @@ def _verified_links(docs: DataFrame, members: DataFrame, width: int, similarity:
             u, v = check(group)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return appended(docs.sparkSession, (dealt(k).mapInArrow(run, "u long, v long") for k in range(rounds)), "verified")
+
+
+def _compared(pairs: DataFrame, values: DataFrame, alike: Callable[[int, int, pa.Scalar, pa.Scalar], bool], name: str) -> DataFrame:
+    """Those of pairs (u, v) that are alike by their values (node, size, value), in rounds; alike gets size_u, size_v, a and b.
+
+    A value moves once for each of its pairs, which are not in proportion to the values.
+    """
+    length = values.select("node", F.length("value").alias("n"))
+    of = lambda rows, c, *names: rows.select(F.col("node").alias(c), *(F.col(x).alias(y) for x, y in names))
+    both = pairs.join(of(length, "u", ("n", "n_u")), "u").join(of(length, "v", ("n", "n_v")), "v")
+    rounds = _rounds(both.agg(F.sum(F.col("n_u") + F.col("n_v"))).first()[0], values.agg(F.sum(F.length("value"))).first()[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [alike(*row) for row in zip(batch.column("size_u").to_pylist(), batch.column("size_v").to_pylist(), batch.column("a"), batch.column("b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    def some(k: int) -> DataFrame:
+        now = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(rounds)) == k)
+        both = now.join(of(values, "u", ("size", "size_u"), ("value", "a")), "u").join(of(values, "v", ("size", "size_v"), ("value", "b")), "v")
+        return both.select("u", "v", "size_u", "size_v", "a", "b").mapInArrow(run, "u long, v long")
+
+    return appended(pairs.sparkSession, (some(k) for k in range(rounds)), name)
 
 
 def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: all pairs of nodes (node, root, doc_id, same, size, first, cells) of different roots that have the similarity.
+    """u, v: all pairs of nodes (node, root, doc_id, same, size, first, cells, fine) of different roots that have the similarity.
 
-    Of the pairs that meet in a leading shingle, those are listed whose histograms allow the similarity; their sets are compared.
+    Of the pairs that meet in a leading shingle, those are listed whose histograms allow the similarity; where the fine ones do too, sets are compared.
     Nearly all shingles lead in one component alone. They go in two written steps, so that the two shuffles
     of all of them are never on disk together.
     """
     every = nodes.select("node", "root", "size", F.posexplode("first").alias("place", "key"))
     met = written(every.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "met")
     keyed = written(every.join(met, "key", "left_semi"), "keyed")
+    removed(met)
     # dealt_buckets sorts by a column fp; here it is the size.
     names = [f"c{k}" for k in range(CELLS)]
     cells = nodes.select("node", *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(names)))
@@ -256,52 +328,57 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))], ["u", "v"])
 
     able = written(dealt.select("key", "cell", "fp", "node", "root", "place", *names).mapInArrow(pairs, "u long, v long").distinct(), "pairs")
-    wanted = able.select(F.col("u").alias("node")).union(able.select("v")).distinct()
-    held = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "same")
+    removed(keyed)
+    enough = lambda both, a, b: both >= similarity * (a + b - both) - 1e-6
+    held = _held(able, nodes.select("node", "size", F.col("fine").alias("value")))
+    near = _compared(able, held, lambda n, m, a, b: enough(finely_shared(a.as_py(), b.as_py()), n, m), "near-pairs")
+    removed(able, held)
+    texts = _texts(docs, _held(near, nodes.select("node", "doc_id", "same")))
+    whole = written(_sets(texts, width, ["node"], "node long").dropDuplicates(["node"]).select("node", (F.length("hashes") / 8).cast("long").alias("size"), F.col("hashes").alias("value")), "sets")
+    removed(texts)
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingles(t, width).tobytes() for t in utf8(batch, "text").to_pylist()]
-        keep = [k for k, (h, same) in enumerate(zip(made, batch.column("same").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(h) == same]
-        return pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array([made[k] for k in keep], pa.binary())], ["node", "hashes"])
+    def alike(n: int, m: int, *pair: pa.Scalar) -> bool:
+        shared = len(np.intersect1d(*(np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in pair), assume_unique=True))
+        return shared >= similarity * (n + m - shared)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(held, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("doc_id", "_id")
-    whole = written(map_slices(texts, sets, "node long, hashes binary", "text").dropDuplicates(["node"]), "sets")
-    both = able.join(whole.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    return _compared(near, whole, alike, "missed")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                alike.append(shared >= similarity * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike, pa.bool_())) for c in ("u", "v")], ["u", "v"])
 
-    return both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+def _held(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of nodes that are in pairs (u, v), written."""
+    return written(rows.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi"), "held")
 
 
 def _rooted(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, sha, root (a node), component_id of each row of docs."""
-    known = written(sketches(docs, width, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    nodes = written(known.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("cells").alias("cells")), "nodes")
-    clusters = connected(_candidates(nodes), "clusters")
+    found = written(sketches(docs, width, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("size", "fp", "keys", "first", "cells", "fine")]
+    nodes = written(found.groupBy("same").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), *firsts), "nodes")
+    known = written(found.select("doc_id", "sha", "same"), "known")
+    removed(found)
+    clusters = alone(lambda: connected(_candidates(nodes), "clusters"), "clusters")
     both = clusters.union(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    members = nodes.drop("keys", "first", "cells").join(both, "node")
-    near = connected(_verified_links(docs, members, width, similarity), "near")
+    members = nodes.drop("keys", "first", "cells", "fine").join(both, "node")
+    near = alone(lambda: connected(_verified_links(docs, members, width, similarity), "near"), "near")
     rooted = nodes.drop("keys").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    missed = _missed(docs, rooted, width, similarity)
+    missed = alone(lambda: _missed(docs, rooted, width, similarity), "missed")
+    few = written(nodes.select("same", "node", "doc_id"), "few")
+    removed(nodes, clusters)
     roots = connected(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(missed), "joined")
-    found = nodes.select("same", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = found.join(least, "root").select("same", "root", "component_id")
-    return known.select("doc_id", "sha", "same").join(by_set, "same").select("doc_id", "sha", "root", "component_id")
+    placed = few.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = placed.join(least, "root").select("same", "root", "component_id")
+    return known.join(by_set, "same").select("doc_id", "sha", "root", "component_id")
 
 
 def components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id reachable by links)."""
-    return _rooted(docs, width, similarity).select("doc_id", "component_id")
+    return alone(lambda: _rooted(docs, width, similarity).select("doc_id", "component_id"), "components")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs for each component, with all columns: the one with the least doc_id, and of rows that repeat it, the least text hash."""
-    return one_of_each(docs, _rooted(docs, width, similarity))
+    rooted = alone(lambda: _rooted(docs, width, similarity).select("doc_id", "sha", "root"), "rooted")
+    out = one_of_each(docs, rooted)  # which writes its own copy
+    removed(rooted)
+    return out
