@@ -1,5 +1,8 @@
+from types import SimpleNamespace
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +174,18 @@ def test_contour_points_at_one_place_count_by_side(spark, tmp_path):
     assert len(set(found)) < len(found)
 
 
+def test_points_are_sent_on_before_a_batch_of_blocks_is_done(monkeypatch):
+    monkeypatch.setattr(contours.B, "with_neighbours", lambda given, side: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    run = contours.contours(None, SIDE, 75.0, 2)
+    n, lists = 4000, pa.list_(pa.float64())
+    z = np.random.default_rng(3).normal(0, 125, (n, SIDE * SIDE))
+    keys = [pa.array(np.arange(n)), *2 * [pa.array(np.zeros(n, dtype=np.int32))]]
+    batch = pa.RecordBatch.from_arrays([*keys, pa.array(list(z), lists), *9 * [pa.nulls(n, lists)]], [*blocks.KEYS, "data", *(f"n{k}" for k in range(9))])
+    points = [sum(map(len, out.column("nodes").to_pylist())) for out in run(iter([batch]))]
+    alone = [sum(map(len, out.column("nodes").to_pylist())) for k in range(4) for out in run(iter([batch.slice(k * 1000, 1000)]))]
+    assert sum(points) == sum(alone) > 200_000 and max(points) < 100_000
+
+
 def test_lines_join_over_blocks(spark):
     y, x = np.mgrid[:48, :48]
     cone = 100 - np.hypot(x - 23.3, y - 24.1) * 3

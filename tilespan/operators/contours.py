@@ -22,6 +22,8 @@ from tilespan.tables import written
 MOST_LEVELS = 200
 #: Heights that are gone through at once, a block counted for each of its levels.
 STACKED = 1 << 18
+#: Points of lines that are held before they are sent on; they are Python numbers until then.
+SENT = 1 << 16
 _FIELDS = "level double, is_index boolean, closed boolean, head long, tail long, xs array<double>, ys array<double>, nodes array<long>"
 
 
@@ -118,13 +120,23 @@ def contours(blocks: DataFrame, side: int, interval: float, index_step: int = 5,
                     path = [place[n] for n in nodes]
                     yield *keys[i], float(level), bool(abs(ratio - round(ratio)) < 1e-6), closed, line[0], line[-1], [p[0] for p in path], [p[1] for p in path], nodes
 
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, STACKED // (side + 2) ** 2)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = B.ringed(batch, side)[:, 1:, 1:]
-            rows = list(lines(list(zip(*(batch.column(k).to_pylist() for k in B.KEYS), strict=True)), z))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names)
+            for start in range(0, batch.num_rows, some):
+                part = batch.slice(start, some)
+                rows, held = [], 0
+                for row in lines(list(zip(*(part.column(k).to_pylist() for k in B.KEYS), strict=True)), B.ringed(part, side)[:, 1:, 1:]):
+                    rows.append(row)
+                    held += len(row[-1])
+                    if held >= SENT:
+                        yield sent(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield sent(rows)
 
     return B.with_neighbours(blocks, side).mapInArrow(run, f"raster long, brow int, bcol int, {_FIELDS}")
 
