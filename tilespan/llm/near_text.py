@@ -309,7 +309,12 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
     # dealt_buckets sorts by a column fp; here it is the size.
     names = [f"c{k}" for k in range(CELLS)]
     cells = nodes.select("node", *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(names)))
-    dealt = dealt_buckets(keyed.select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")).join(cells, "node"), BUCKET)
+    # Rows go twice, with their histograms: once to be joined, once dealt.
+    rounds = _rounds(keyed.count() * 16 * (6 + CELLS), nodes.agg(F.sum("size") * 8).first()[0])
+
+    def dealt(k: int) -> DataFrame:
+        now = keyed.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
+        return dealt_buckets(now.select("key", F.col("size").alias("fp"), "node", "root", F.col("place").cast("long").alias("place")).join(cells, "node"), BUCKET)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, cell), (size, node, root, place, *held) in whole_groups(batches, ("key", "cell"), ("fp", "node", "root", "place", *names)):
@@ -327,7 +332,9 @@ def _missed(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) ->
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, node[i])), pa.array(np.maximum(found, node[i]))], ["u", "v"])
 
-    able = written(dealt.select("key", "cell", "fp", "node", "root", "place", *names).mapInArrow(pairs, "u long, v long").distinct(), "pairs")
+    listed = appended(docs.sparkSession, (dealt(k).select("key", "cell", "fp", "node", "root", "place", *names).mapInArrow(pairs, "u long, v long").distinct() for k in range(rounds)), "listed")
+    able = written(listed.distinct(), "pairs")
+    removed(listed)
     removed(keyed)
     enough = lambda both, a, b: both >= similarity * (a + b - both) - 1e-6
     held = _held(able, nodes.select("node", "size", F.col("fine").alias("value")))
